@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -40,18 +41,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/quillon-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
+
+    large: its shuffle files are worth waiting for their removal, before the next step writes its own.
+    """
+    spark, path, schema = df.sparkSession, shared_path(df.sparkSession, label), df.schema
     df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    del df  # its plan holds on to its shuffle files
+    if large:
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs; they'd else stay until the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished jobs; they'd else stay until the driver's next collection.
+
+    The first round ends the plans that Python held, the second what those plans held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -5,10 +5,12 @@ is least (leftmost of equals) among the runs of some window. Equal windows have
 place, and every window has one, so it is enough to look at windows around anchors that occur twice; anchors
 are some 2 / (T - K + 2) of all positions.
 
-1. `survey`: each anchor is sent with a hash of its context (all that windows around it can hold), by the
-   anchor's hash. An anchor whose context occurs earlier is covered with its whole context. Copies within a
-   batch of documents are settled there, and only the first goes on, so a passage in a third of all
-   documents costs one row a batch. First contexts whose anchor also has other contexts are asked for.
+1. `survey`: each anchor stands for the windows whose least run it is, a range of starts. It is sent with a
+   hash of its context (the text of those windows), by the anchor's hash. An anchor whose context occurs
+   earlier is covered with its whole context. Copies within a batch of documents are settled there, and only
+   the first goes on, so a passage in a third of all documents costs one row a batch. The windows of a first
+   context fall into CLASSES by their anchor's place in them; those of a class share a core, and are only
+   asked for if that core occurs at that anchor in other contexts too.
 2. `settle`: of those, the windows themselves are compared: dealt by the window's digits, ordered by
    most-significant-digit radix passes to depth T; equal groups are the repeated windows.
 3. `join_spans`: spans meet their documents, by doc_id and a hash of the text, as repeated doc_ids may hold
@@ -34,7 +36,10 @@ from quillon.llm.common import materialize, partitions_for, slices
 U = np.uint64
 LOW24 = U((1 << 24) - 1)
 #: Positions searched for anchors at once, and anchors held before they are sent.
-BLOCK, HOLD = 1 << 19, 3_000_000
+BLOCK, HOLD = 1 << 18, 1_000_000
+#: A window's anchor is in one of so many ranges of places.
+CLASSES = 4
+CLASS_SHIFT = 20
 SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 SPAN = "doc_id long, key long, lo int, hi int"
 _rng = np.random.default_rng(20_240_607)
@@ -54,6 +59,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Unit:
     """Symbols of a slice of texts, T zeros around each; symbol 0 is never compared as text, since lengths are."""
 
+    passes = 1
+
     def __init__(self, threshold: int, anchor: int):
         self.T, self.K = threshold, anchor
 
@@ -66,6 +73,8 @@ class Unit:
 
 
 class Bytes(Unit):
+    passes = 2
+
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         return *self.lay(np.frombuffer(b"".join(texts), np.uint8), lens), lens
@@ -110,7 +119,7 @@ def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, words
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.ones(n, U)
     np.multiply.accumulate(np.full(n - 1, base, U), out=out[1:])
@@ -152,15 +161,15 @@ def run_hashes(x: np.ndarray, length: int) -> np.ndarray:
         base, width = U(int(base) ** 2 & 0xFFFFFFFFFFFFFFFF), 2 * width
 
 
-def anchors(unit: Unit, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor places in `symbols`, ascending, and their hashes."""
+def anchors(unit: Unit, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor places in `symbols`, ascending, their hashes, and the first and last start of the windows of each."""
     T, K = unit.T, unit.K
     own = lens >= T
     change = np.zeros(len(symbols) + 1, np.int32)
     np.add.at(change, starts[own], 1)
     np.add.at(change, (starts + lens - T + 1)[own], -1)
     valid = np.cumsum(change[:-1]) > 0  # a window starts here
-    places, hashes = [], []
+    parts: list[list[np.ndarray]] = [[], [], [], []]
     w = T - K + 1
     for b in range(0, len(symbols), BLOCK):
         ok = valid[b : b + BLOCK]
@@ -174,19 +183,45 @@ def anchors(unit: Unit, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarra
             width *= 2
         if w > width:
             low = np.minimum(low[: len(low) - (w - width)], low[w - width :])
-        ok = ok[: len(low)]
-        at = (low[: len(ok)][ok] & LOW24).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1]
-        at = at[new]  # leftmost minima never go back
-        places.append(at + b)
-        hashes.append(h[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    at, h = np.concatenate(places), np.concatenate(hashes)
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1]
-    return at[new], h[new]
+        window = np.flatnonzero(ok[: len(low)])
+        at = (low[window] & LOW24).astype(np.int64)
+        first = edges(at)  # leftmost minima never go back
+        last = np.append(first[1:], len(at)) - 1
+        for part, x in zip(parts, (at[first] + b, h[at[first]], window[first] + b, window[last] + b), strict=True):
+            part.append(x)
+    if not parts[0]:
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, U), none, none
+    at, h, first, last = (np.concatenate(x) for x in parts)
+    rows = edges(at)  # one that two blocks share
+    return at[rows], h[rows], first[rows], last[np.append(rows[1:], len(at)) - 1]
+
+
+def edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def range_hashes(unit: Unit, symbols: np.ndarray, at: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each (begin, end) the hashes of those ranges of symbols, all near `at` (ascending), by differences of two power sums."""
+    out = [np.empty(len(at), U) for _ in ranges]
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK)))
+        low = min(int(a[i:j].min()) for a, _ in ranges)
+        x = unit.values(symbols[low : max(int(b[i:j].max()) for _, b in ranges)])
+        total = np.zeros(len(x) + 1, U)
+        for o in out:
+            o[i:j] = 0
+        for base in (int(BASE), int(ODD[0])):
+            np.cumsum(x * powers(len(x), base), out=total[1:])
+            back = powers(len(x) + 1, pow(base, -1, 1 << 64))
+            for o, (a, b) in zip(out, ranges, strict=True):
+                o[i:j] = mix(o[i:j] + (total[b[i:j] - low] - total[a[i:j] - low]) * back[a[i:j] - low])
+        i = j
+    return [mix(o + (b - a).astype(U)) for o, (a, b) in zip(out, ranges, strict=True)]
 
 
 def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +259,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def covered(place: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """The span of all windows around an anchor; it may go beyond the text, and is cut there at the end."""
-    return (place + unit.K - unit.T).astype(np.int32), (place + unit.T).astype(np.int32)
-
-
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of equal length, sorted by (doc, lo), with those that touch made one."""
+    """Spans sorted by (doc, lo), their ends ascending too, with those that touch made one."""
     if not len(doc):
         return doc, lo, hi
     new = np.ones(len(doc), bool)
@@ -244,9 +274,13 @@ def spans_batch(doc_ids, keys, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], schema=SPANS)
 
 
-def later(doc: np.ndarray, first_doc: np.ndarray, row: np.ndarray, first_row: np.ndarray, within: bool) -> np.ndarray:
-    """Whether a row comes after its group's first: in a larger document or, if within, later in the same."""
-    return (row != first_row) if within else (doc > first_doc)
+def later(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, row: np.ndarray, first: np.ndarray, within: bool) -> np.ndarray:
+    """Whether a row comes after its group's first: in a larger document or, if within, anywhere else.
+
+    Repeated rows, of one doc_id, text and place, are one occurrence.
+    """
+    larger = ids[row] > ids[first]
+    return larger | (places[row] != places[first]) | (keys[row] != keys[first]) if within else larger
 
 
 def firsts(group: np.ndarray) -> np.ndarray:
@@ -260,11 +294,17 @@ ROUTED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), *SPANS])
 
 
 def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
-    """Spans that anchors settle, and (hi = -1) anchors at lo whose windows are to be compared."""
+    """Spans that anchors settle, and (hi negative) windows from lo on that are to be compared: -hi is their number, with their class above CLASS_SHIFT bits."""
+
+    rest = unit.T - unit.K
+    small = np.uint8 if rest < 256 else np.uint16
+    # places of the anchor in the windows of each class, from and to
+    limits = [c * (rest + 1) // CLASSES for c in range(CLASSES + 1)]
+    classes = [(x, y - 1) for x, y in zip(limits, limits[1:], strict=False) if x < y]
 
     def send(held: list, ids: list, keys: list) -> Iterator[pa.RecordBatch]:
         """One batch of documents: settle copies within it, pack the rest by bucket."""
-        doc, place, h, context = (np.concatenate(c) for c in zip(*held, strict=True))
+        doc, place, reach, h, context, sides = (np.concatenate(c) for c in zip(*held, strict=True))
         ids, keys = np.concatenate(ids), np.concatenate(keys)
         rank = np.argsort(ids, kind="stable")
         ids, keys = ids[rank], keys[rank]
@@ -272,37 +312,37 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
         back[rank] = np.arange(len(rank))
         doc = back[doc]
         by = np.argsort(doc, kind="stable")
-        doc, place, h, context = doc[by], place[by], h[by], context[by]
+        doc, place, reach, h, context, sides = (c[by] for c in (doc, place, reach, h, context, sides))
         order = np.argsort(context, kind="stable")
         first = order[firsts(context[order])]
         settled = np.zeros(len(doc), bool)
-        settled[order] = later(ids[doc[order]], ids[doc[first]], order, first, within)
-        d, lo, hi = merged(doc[settled], *covered(place[settled], unit))
+        settled[order] = later(ids[doc], keys[doc], place, order, first, within)
+        d, lo, hi = merged(doc[settled], place[settled], place[settled] + reach[settled, 0].astype(np.int32) + unit.T)
         if len(d):
             yield pa.RecordBatch.from_arrays([pa.array(d % n, pa.int32()), pa.nulls(len(d), pa.binary()), *spans_batch(ids[d], keys[d], lo, hi).columns], schema=ROUTED)
-        doc, place, h, context = doc[~settled], place[~settled], h[~settled], context[~settled]
-        bucket = (h >> U(32)).astype(np.int64) % n
+        doc, place, reach, h, context, sides = (c[~settled] for c in (doc, place, reach, h, context, sides))
+        bucket = h.astype(np.int64) % n
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(n + 1))
         for b in range(n):
             own = by[cuts[b] : cuts[b + 1]]
             if len(own):
                 used, at = np.unique(doc[own], return_inverse=True)
-                body = [np.array([len(own), len(used)], np.int64), np.diff(ids[used], prepend=0), keys[used].astype(np.uint32), at.astype(np.uint32 if len(used) > 65_535 else np.uint16), place[own].astype(np.uint32), (h[own] & U(0xFFFFFFFF)).astype(np.uint32), context[own]]
+                body = [np.array([len(own), len(used)], np.int64), np.diff(ids[used], prepend=0), keys[used].astype(np.uint32), at.astype(np.uint32 if len(used) > 65_535 else np.uint16), place[own].astype(np.uint32), reach[own], sides[own], context[own]]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b"".join(x.tobytes() for x in body)], pa.binary()), *(pa.nulls(1, f.type) for f in SPANS)], schema=ROUTED)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, keys, n_docs, size = [], [], [], 0, 0
         for part, texts in slices(batches):
             symbols, starts, lens = unit.symbols(texts)
-            at, h = anchors(unit, symbols, starts, lens)
+            at, h, first, last = anchors(unit, symbols, starts, lens)
             doc = np.searchsorted(starts, at, "right") - 1
-            place = at - starts[doc]
-            left, right = np.minimum(place, unit.T - unit.K), np.minimum(lens[doc] - place, unit.T)
-            context = (left * (unit.T + 1) + right).astype(U) * ODD[0]
-            for i, d in enumerate(unit.digits(symbols, at + unit.K - unit.T, 2 * unit.T - unit.K)):
-                context += mix(d) * ODD[i + 1]
-            held.append((doc + n_docs, place, h, mix(context)))
+            cores = [(at - x, at - y + unit.T) for x, y in classes]
+            context, *sides = range_hashes(unit, symbols, at, [(first, last + unit.T), *((np.maximum(a, 0), b) for a, b in cores)])
+            # a class without windows here matches nothing
+            sides = [np.where((first <= at - x) & (last >= at - y), s, context ^ U(x + 1)) >> U(32) for s, (x, y) in zip(sides, classes, strict=True)]
+            reach = np.stack([last - first, at - first], 1)
+            held.append(((doc + n_docs).astype(np.int32), (first - starts[doc]).astype(np.int32), reach.astype(small), (h >> U(32)).astype(np.uint32), context, np.stack(sides, 1).astype(np.uint32)))
             ids.append(part.column("doc_id").to_numpy())
             keys.append(part.column("key").to_numpy())
             n_docs, size = n_docs + len(texts), size + len(at)
@@ -313,7 +353,7 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
             yield from send(held, ids, keys)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, keys_, places, hs, contexts = [], [], [], [], []
+        docs_, keys_, places, reaches, sides_, contexts = [], [], [], [], [], []
         for batch in batches:
             through = batch.filter(batch.column("doc_id").is_valid())
             if through.num_rows:
@@ -326,31 +366,33 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
                 kind = np.uint32 if u > 65_535 else np.uint16
                 own = np.frombuffer(raw, kind, m, at := at + 4 * u)
                 places.append(np.frombuffer(raw, np.uint32, m, at := at + own.itemsize * m))
-                hs.append(np.frombuffer(raw, np.uint32, m, at := at + 4 * m))
-                contexts.append(np.frombuffer(raw, U, m, at + 4 * m))
+                reaches.append(np.frombuffer(raw, small, 2 * m, at := at + 4 * m).reshape(m, 2))
+                sides_.append(np.frombuffer(raw, np.uint32, len(classes) * m, at := at + 2 * m * small().itemsize).reshape(m, -1))
+                contexts.append(np.frombuffer(raw, U, m, at + 4 * len(classes) * m))
                 docs_.append(ids[own])
                 keys_.append(keys[own])
         if not places:
             return
-        doc, key, place, h, context = (np.concatenate(c) for c in (docs_, keys_, places, hs, contexts))
-        by = np.lexsort((place, doc))
-        doc, key, place, h, context = (c[by] for c in (doc, key, place, h, context))
+        doc, key, place, reach, sides, context = (np.concatenate(c) for c in (docs_, keys_, places, reaches, sides_, contexts))
+        by = np.lexsort((key, place, doc))
+        doc, key, place, reach, sides, context = (c[by] for c in (doc, key, place.astype(np.int64), reach.astype(np.int64), sides, context))
         order = np.argsort(context, kind="stable")
         first = order[firsts(context[order])]
         settled = np.zeros(len(doc), bool)
-        settled[order] = later(doc[order], doc[first], order, first, within)
+        settled[order] = later(doc, key, place, order, first, within)
         rows = np.flatnonzero(settled)
-        lo, hi = covered(place[rows].astype(np.int64), unit)
-        yield spans_batch(doc[rows], key[rows], lo, hi)
-        # anchors with several contexts
+        yield spans_batch(doc[rows], key[rows], place[rows], place[rows] + reach[rows, 0] + unit.T)
         rows = np.flatnonzero(~settled)
-        rows = rows[np.argsort(h[rows], kind="stable")]
-        if len(rows):
-            start = firsts(h[rows])
-            several = np.zeros(len(rows), bool)
-            np.logical_or.at(several, start, context[rows] != context[rows[start]])
-            ask = rows[several[start]]
-            yield spans_batch(doc[ask], key[ask], place[ask].astype(np.int32), np.full(len(ask), -1, np.int32))
+        for side, (x, y) in enumerate(classes):
+            by = rows[np.argsort(sides[rows, side], kind="stable")]
+            start = firsts(sides[by, side])
+            several = np.zeros(len(by), bool)
+            np.logical_or.at(several, start, context[by] != context[by[start]])
+            ask = np.sort(by[several[start]])
+            # the class's windows of this anchor, as starts relative to the first
+            begin, end = np.maximum(reach[ask, 1] - y, 0), np.minimum(reach[ask, 1] - x, reach[ask, 0])
+            ask, begin, end = ask[begin <= end], begin[begin <= end], end[begin <= end]
+            yield spans_batch(doc[ask], key[ask], place[ask] + begin, begin - end - 1 - (side << CLASS_SHIFT))
 
     rows = docs.where("doc_id is not null").mapInArrow(scan, "bucket int, payload binary, " + SPAN)
     return rows.repartitionById(n, F.col("bucket")).mapInArrow(meet, SPAN)
@@ -358,7 +400,7 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
 
 def settle(docs: DataFrame, asked: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
     """Spans of the windows around the asked anchors that occur earlier."""
-    T, K = unit.T, unit.K
+    T = unit.T
     probe = unit.digits(np.zeros(4 * T + 8, np.uint8 if isinstance(unit, Bytes) else U), np.array([T]), T)
     names = [f"d{i}" for i in range(len(probe))]
     schema = pa.schema([*((d, pa.int64()) for d in names), *SPANS])
@@ -367,13 +409,11 @@ def settle(docs: DataFrame, asked: DataFrame, unit: Unit, within: bool, n: int)
         for part, texts in slices(batches):
             symbols, starts, lens = unit.symbols(texts)
             asked_of = part.column("places")
-            counts = np.diff(asked_of.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(texts)), counts)
-            place = asked_of.flatten().to_numpy().astype(np.int64)
-            at = np.unique((starts[doc] + place)[:, None] + np.arange(K - T, 1))
+            doc = np.repeat(np.arange(len(texts)), np.diff(asked_of.offsets.to_numpy()))
+            flat = asked_of.flatten()
+            begin, n_own = starts[doc] + flat.field("lo").to_numpy(), -flat.field("hi").to_numpy().astype(np.int64) & (1 << CLASS_SHIFT) - 1
+            at = np.sort(np.repeat(begin - np.cumsum(n_own) + n_own, n_own) + np.arange(n_own.sum()))
             doc = np.searchsorted(starts, at, "right") - 1
-            ok = (doc >= 0) & (at - starts[doc] + T <= lens[doc])
-            at, doc = at[ok], doc[ok]
             ids, keys = part.column("doc_id").to_numpy(), part.column("key").to_numpy()
             rank = np.argsort(ids[doc], kind="stable")  # by doc_id, then place
             at, doc = at[rank], doc[rank]
@@ -383,8 +423,8 @@ def settle(docs: DataFrame, asked: DataFrame, unit: Unit, within: bool, n: int)
             order, group = radix_groups(digits)
             first = order[firsts(group)]
             hit = np.zeros(len(at), bool)
-            hit[order] = later(ids[doc[order]], ids[doc[first]], order, first, within)
             lo = (at - starts[doc]).astype(np.int32)
+            hit[order] = later(ids[doc], keys[doc], lo, order, first, within)
             rows = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), pa.int64()) for _ in names), *spans_batch(ids[doc[rows]], keys[doc[rows]], lo[rows], lo[rows] + T).columns], schema=schema)
             rows = np.flatnonzero(~hit)
@@ -400,14 +440,14 @@ def settle(docs: DataFrame, asked: DataFrame, unit: Unit, within: bool, n: int)
         if not sum(b.num_rows for b in held):
             return
         c = {f.name: np.concatenate([b.column(f.name).to_numpy() for b in held]) for f in schema}
-        by = np.lexsort((c["lo"], c["doc_id"]))
+        by = np.lexsort((c["key"], c["lo"], c["doc_id"]))
         c = {k: v[by] for k, v in c.items()}
         order, group = radix_groups([c[d].view(U) for d in names])
         first = order[firsts(group)]
-        rows = np.sort(order[later(c["doc_id"][order], c["doc_id"][first], order, first, within)])
+        rows = np.sort(order[later(c["doc_id"], c["key"], c["lo"], order, first, within)])
         yield spans_batch(c["doc_id"][rows], c["key"][rows], c["lo"][rows], c["lo"][rows] + T)
 
-    places = asked.groupBy("doc_id", "key").agg(F.collect_list("lo").alias("places"))
+    places = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     rows = docs.join(places, ["doc_id", "key"]).select("doc_id", "key", "text", "places")
     rows = rows.mapInArrow(windows, ", ".join(f"{d} long" for d in names) + ", " + SPAN)
     salt = F.when(F.col("hi") >= 0, F.xxhash64("doc_id", "lo"))
@@ -422,9 +462,13 @@ def repeated_spans(docs: DataFrame, unit: Unit, within: bool) -> DataFrame:
     """
     n = partitions_for(docs)
     docs = keyed(docs)
-    found = materialize(survey(docs, unit, within, n), "survey")
-    more = materialize(settle(docs, found.where("hi < 0"), unit, within, n), "windows")
-    return found.where("hi >= 0").union(more)
+    found = materialize(survey(docs, unit, within, n), "survey", large=True)
+    spans = found.where("hi >= 0")
+    # equal windows are of one class, so classes may be compared in turn, each pass with its own shuffle
+    for p in range(unit.passes):
+        own = F.expr(f"hi < 0 and shiftright(-hi, {CLASS_SHIFT}) % {unit.passes} = {p}")
+        spans = spans.union(materialize(settle(docs, found.where(own), unit, within, n), "windows", large=True))
+    return spans
 
 
 def span_table(spans: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     n = partitions_for(docs)
     prints = materialize(wide_fingerprints(docs, shingle), "wide")
     own = materialize(prints.groupBy("wide").agg(F.min("doc_id").alias("node")), "distinct-wide")
-    pairs = materialize(candidate_links(wide_rows(own), CHECK_RADIUS, n), "candidates")
+    pairs = materialize(candidate_links(wide_rows(own), CHECK_RADIUS, n), "candidates", large=True)
     pairs = pairs.join(own.toDF("a", "u"), "u").join(own.toDF("b", "v"), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quillon.llm import dedup, repeats
@@ -70,18 +71,20 @@ def test_bytes_match_brute_force(spark, seed):
 
 
 def test_small_slices_blocks_and_batches_give_the_same(spark, monkeypatch):
-    # run in this process: the functions are called on plain batches
-    import pyarrow as pa
-
     rows = corpus(7, 40)
     texts = [(t or "").encode() for _, t in rows]
     unit = dedup.bytes_unit(50)
     symbols, starts, lens = unit.symbols(texts)
     whole = repeats.anchors(unit, symbols, starts, lens)
+    hashes = repeats.range_hashes(unit, symbols, whole[0], [(whole[2], whole[3] + 50)])[0]
     monkeypatch.setattr(repeats, "BLOCK", 97)
     small = repeats.anchors(unit, symbols, starts, lens)
-    assert (whole[0] == small[0]).all() and (whole[1] == small[1]).all()
-    assert pa is not None
+    assert all((a == b).all() for a, b in zip(whole, small, strict=True))
+    assert (hashes == repeats.range_hashes(unit, symbols, small[0], [(small[2], small[3] + 50)])[0]).all()
+    # every window belongs to one anchor inside it
+    owned = np.concatenate([np.arange(a, b + 1) for a, b in zip(whole[2], whole[3], strict=True)])
+    assert owned.tolist() == [s + i for s, n in zip(starts, lens, strict=True) for i in range(max(0, n - 49))]
+    assert (whole[2] <= whole[0]).all() and (whole[0] + unit.K <= whole[3] + 50).all() and (whole[0] - whole[2] <= 50 - unit.K).all()
 
 
 def test_texts_left_and_odd_tables(spark):
@@ -94,3 +97,7 @@ def test_texts_left_and_odd_tables(spark):
     same = spark.createDataFrame([(5, long), (5, long), (None, long), (6, long)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_removed) for r in dedup.repeated_bytes_digest(same, 50).collect())
     assert got == [(0, 0), (5, 0), (5, 0), (6, 60)]
+    text = " ".join(f"n{i}" for i in range(30))
+    same = spark.createDataFrame([(5, text), (5, text), (5, "x " + text), (6, text), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in dedup.repeated_words_digest(same.coalesce(1), 20).collect())
+    assert got == [(0, 30, 0), (5, 30, 0), (5, 30, 0), (5, 31, 30), (6, 30, 30)]
