@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import table
+from quillon.llm.sql import ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,4 +83,4 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_simhash_components, op4_token_counts, op5_nearest, op6_substring_dedup, op7_token_files, op8_decontamination, op9_chat, op10_repeated_bytes)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
