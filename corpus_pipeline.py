@@ -51,5 +51,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", large=True)
     return materialize(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")

@@ -1,8 +1,9 @@
 """Removal of repeated words (20-word windows) and repeated bytes (50-byte strings).
 
-Both judge windows on the input. Null texts count as empty; texts shorter than a window lose nothing;
-repeated rows of one doc_id with one text are one document to op10's rule (no smaller doc_id), and for words
-each row is its own occurrence only if the texts differ. Only doc_id and text are read.
+Both judge windows on the input. Null texts count as empty; texts shorter than a window lose nothing. Repeated
+rows (one doc_id and text) are one document: all stay, or lose the same. Rows of one doc_id with different
+texts are, for words, different occurrences of which one stays; for bytes neither is the smaller. Rows without
+doc_id lose nothing and remove nothing. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.llm.automaton import SHARD_WORDS, reference_spans
 from quillon.llm.common import release, slices
 from quillon.llm.repeats import Bytes, Words, join_spans, kept_mask, repeated_spans, span_lists, span_table, text_key
 
@@ -53,6 +55,16 @@ def remove_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     return _apply(docs, repeated_spans(docs, words_unit(window), True), cut, ["doc_id", "text"], "doc_id long, text string")
 
 
+def remove_reference_words(docs: DataFrame, reference: DataFrame, window: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, text: without the words under windows that stand in a text of the reference (broadcast suffix automata)."""
+
+    def cut(text: bytes, spans: np.ndarray | None) -> tuple[str]:
+        words, n = remaining_words(text, spans)
+        return ((text if len(words) == n else b" ".join(words)).decode("utf-8", "replace"),)
+
+    return _apply(docs, reference_spans(docs, reference, window, shard_words), cut, ["doc_id", "text"], "doc_id long, text string")
+
+
 def repeated_words_digest(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (words left, joined by one space)."""
 
@@ -71,7 +83,7 @@ def replace_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     spans = repeated_spans(docs, words_unit(window), True)
     release(docs.sparkSession)
-    own = span_table(spans)
+    own, names = span_table(spans), docs.columns
     rows = docs.withColumn("__key", text_key()).join(own.withColumnsRenamed({"key": "__key", "spans": "__spans"}), ["doc_id", "__key"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +94,10 @@ def replace_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
                 words, n = remaining_words(t, s) if s is not None else ([], 0)
                 keep.append(s is None or len(words) > 0)
                 new.append(None if not ok else (t if s is None or len(words) == n else b" ".join(words)).decode("utf-8", "replace"))
-            columns = [pa.array(new, pa.string()) if c == "text" else pa.array([None if x is None else len(x) for x in new], part.schema.field(c).type) if c == "n_chars" else part.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(keep))
+            columns = [pa.array(new, pa.string()) if c == "text" else pa.array([None if x is None else len(x) for x in new], part.schema.field(c).type) if c == "n_chars" else part.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return rows.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    return rows.select(*names, "__spans").mapInArrow(run, docs.schema)
 
 
 def remaining_bytes(text: bytes, spans: np.ndarray | None) -> tuple[bytes, int]:

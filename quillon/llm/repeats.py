@@ -23,7 +23,6 @@ anchors and a shuffle partition, whose number follows the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, partitions_for, slices
+from quillon.llm.common import SLICE_BYTES, materialize, partitions_for, slices
 
 U = np.uint64
 LOW24 = U((1 << 24) - 1)
@@ -119,16 +118,18 @@ def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, words
 
 
-@lru_cache(8)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, U)
-    np.multiply.accumulate(np.full(n - 1, base, U), out=out[1:])
-    return out
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    return _powers(1 << max(n - 1, 1).bit_length(), base)[:n]
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest asked for is kept for each base."""
+    own = _POWERS.get(base)
+    if own is None or len(own) < n:
+        own = np.ones(n + n // 8, U)
+        np.multiply.accumulate(np.full(len(own) - 1, base, U), out=own[1:])
+        if n <= 2 * SLICE_BYTES:
+            _POWERS[base] = own
+    return own[:n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:

@@ -142,12 +142,12 @@ def wide_rows(codes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 raw = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, WORDS * 8)
                 words = np.ascontiguousarray(raw).view("<u8")
                 bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(part.num_rows, blocks, BLOCK_BITS)
-                values = bits @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
+                values = (bits.astype(np.int32) @ (1 << np.arange(BLOCK_BITS, dtype=np.int32))).astype(np.int64)
                 keys = (np.arange(blocks, dtype=np.int64) << BLOCK_BITS) + values
                 check = words[:, (np.arange(blocks) * BLOCK_BITS // 64 + WORDS // 2) % WORDS].view(np.int64)
                 node = np.repeat(part.column("node").to_numpy(), blocks)
