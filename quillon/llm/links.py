@@ -24,12 +24,12 @@ PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def deal(rows: DataFrame, most: int = MOST, partitions: int | None = None) -> DataFrame:
-    """rows (key, node, code) with column part: equal (key, part) rows meet in one task, sorted so.
+    """rows (key, node, code, and what else they have) with column part: equal (key, part) rows meet in one task, sorted so.
 
     Large buckets come from a count by key (partially aggregated); their keys join back, never collected.
     """
     spark = rows.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, names = partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), rows.columns
     large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large-buckets")
     if large.isEmpty():
         rows = rows.withColumn("part", F.lit(0).cast("long"))
@@ -39,28 +39,29 @@ def deal(rows: DataFrame, most: int = MOST, partitions: int | None = None) -> Da
         dealt = rows.join(large, "key", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)).cast("long")).withColumn("own", F.coalesce(own, F.lit(0)).cast("long"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
-        rows = dealt.select("key", "node", "code", part.alias("part"))
+        rows = dealt.select(*names, part.alias("part"))
     return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node", "code")
 
 
-def groups(batches: Iterator[pa.RecordBatch], target: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(start of each group, nodes, codes) of whole groups, some 200,000 rows at a time."""
+def groups(batches: Iterator[pa.RecordBatch], target: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start of each group, nodes, codes, other columns) of whole groups, some 200,000 rows at a time."""
     held: list[list[np.ndarray]] = []
     size = 0
 
     def cut(columns: list[np.ndarray]):
-        key, part, node, code = columns
+        key, part, *others = columns
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        return np.flatnonzero(new), node, code
+        return np.flatnonzero(new), *others
 
     for batch in batches:
-        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "node", "code")])
+        names = ["key", "part", *(c for c in batch.schema.names if c not in ("key", "part"))]
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
         size += batch.num_rows
         if size < target:
             continue
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        starts, _, _ = cut(columns)
+        starts = cut(columns)[0]
         last = int(starts[-1])  # the last group may go on
         if last:
             yield cut([c[:last] for c in columns])
@@ -143,8 +144,25 @@ def exact_links(rows: DataFrame, radius: int, partitions: int | None = None) ->
     return deal(rows, partitions=partitions).mapInArrow(run, "u long, v long").distinct()
 
 
+def star_links(rows: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
+    """u, v: each node with the least of its bucket, where their codes are at most `radius` apart; to be verified.
+
+    At most one pair a row. The least node is the same in many buckets of a large group, so distinct pairs are few.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, nodes, codes in groups(batches):
+            first = np.repeat(starts, np.diff(np.append(starts, len(nodes))))
+            codes = codes.view(np.uint64)
+            own = np.flatnonzero((np.bitwise_count(codes ^ codes[first]) <= radius) & (nodes != nodes[first]))
+            pairs = np.unique(np.stack([nodes[first[own]], nodes[own]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
+
+    return deal(rows, partitions=partitions).mapInArrow(run, "u long, v long").distinct()
+
+
 def candidate_links(rows: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
-    """u, v: pairs of nodes that meet in a bucket with codes at most `radius` apart, to be verified.
+    """u, v: pairs of nodes of different roots (column root) that meet in a bucket with codes at most `radius` apart, to be verified.
 
     In a bucket of over SMALL rows, leaders stand for those close to them: rows are taken by node, each is
     paired with every leader close to it, and one that has none leads. Such a bucket gives a few pairs a row.
@@ -164,10 +182,11 @@ def candidate_links(rows: DataFrame, radius: int, partitions: int | None = None)
         return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, nodes, codes in groups(batches):
+        for starts, nodes, codes, roots in groups(batches):
             a, b = close_pairs(starts, codes, radius, leaders(codes))
-            u, v = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-            pairs = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+            differ = roots[a] != roots[b]
+            a, b = a[differ], b[differ]
+            pairs = np.unique(np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
 
     return deal(rows, partitions=partitions).mapInArrow(run, "u long, v long").distinct()

@@ -86,6 +86,27 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
 
 
+def test_stars_and_candidates_of_a_bucket(spark):
+    rows = [(1, 10, 0b0, 10), (1, 11, 0b1, 10), (1, 12, 0b11, 12), (2, 11, 0b0, 10), (2, 12, 0b0, 12), (2, 13, -1, 13), (3, 12, 0, 12)]
+    frame = spark.createDataFrame(rows, "key long, node long, code long, root long")
+    pairs = lambda df: sorted((r.u, r.v) for r in df.collect())
+    assert pairs(links.star_links(frame.drop("root"), 1)) == [(10, 11), (11, 12)]
+    assert pairs(links.candidate_links(frame, 2)) == [(10, 12), (11, 12)], "10 and 11 are of one root"
+
+
+def test_a_large_group_of_near_copies_is_found_whole(spark):
+    rnd = random.Random(4)
+    base = [f"v{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = [(7, " ".join(base))]
+    for i in range(300):
+        own = list(base)
+        own[rnd.randrange(200)] = f"x{i}"
+        rows.append((100 + i, " ".join(own)))
+    rows += [(5000 + i, " ".join(f"u{rnd.randrange(10**6)}" for _ in range(200))) for i in range(20)]
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert got == {d: 7 if d < 5000 else d for d, _ in rows}
+
+
 def test_empty_table_and_null_and_repeated_ids(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "z y x w v")], "doc_id long, text string")
