@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -85,8 +86,17 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers live on between tasks, and would hold it beside the next step's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library's own, where it has it
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches with about `most` bytes of text each (one text at least), and the texts as bytes."""
+    give_back()
     for batch in batches:
         texts = text_bytes(batch.column(text))
         start = size = 0
@@ -97,6 +107,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             size += len(x)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+        del batch, texts
+    give_back()
 
 
 class TwoGenerations(dict):
