@@ -36,6 +36,8 @@ from quillon.llm.common import TwoGenerations, input_bytes, release, shared_path
 from quillon.llm.encoding import read_file
 
 MAGIC, BLOCK = b"QTB1", 1 << 14
+#: Chunks that the library encodes at once; its results take some kilobytes each.
+BATCH = 4096
 HEAD = struct.Struct("<4sIQQQ")
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_doc long, last_doc long"
 
@@ -98,7 +100,7 @@ CUT = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 class LibraryEncoder:
     """Ids by the tokenizers library, asked once for each distinct chunk in the cache's reach."""
 
-    def __init__(self, spec: str, most: int = 500_000):
+    def __init__(self, spec: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,8 +131,8 @@ class LibraryEncoder:
         for d in docs:
             seen.update(d)
         absent = self.cache.missing(seen)
-        for k in range(0, len(absent), 20_000):
-            part = absent[k : k + 20_000]
+        for k in range(0, len(absent), BATCH):
+            part = absent[k : k + BATCH]
             for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[c] = np.array(e.ids, kind).tobytes()
         get = self.cache.__getitem__
