@@ -100,7 +100,7 @@ CUT = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 class LibraryEncoder:
     """Ids by the tokenizers library, asked once for each distinct chunk in the cache's reach."""
 
-    def __init__(self, spec: str, most: int = 300_000):
+    def __init__(self, spec: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
