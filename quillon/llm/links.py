@@ -20,7 +20,10 @@ from quillon.llm.common import materialize
 MOST = 4096
 #: Groups up to this size are compared by shifts over the whole sorted array.
 SMALL = 24
+#: Pairs a row up to which a larger group gives its candidate pairs; beyond, its rows are compared on their whole codes.
+CROWD = 2
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+MEETINGS = pa.schema([(c, pa.int64()) for c in ("u", "v", "key", "part")])
 
 
 def deal(rows: DataFrame, most: int = MOST, partitions: int | None = None) -> DataFrame:
@@ -162,34 +165,87 @@ def star_links(rows: DataFrame, radius: int, partitions: int | None = None) -> D
 
 
 def candidate_links(rows: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
-    """u, v: pairs of nodes of different roots (column root) that meet in a bucket with codes at most `radius` apart, to be verified.
+    """u, v, key, part: pairs of nodes of different roots (column root) that meet in a bucket with codes at most `radius` apart, to be verified.
 
-    In a bucket of over SMALL rows, leaders stand for those close to them: rows are taken by node, each is
-    paired with every leader close to it, and one that has none leads. Such a bucket gives a few pairs a row.
+    A bucket of over SMALL rows that has more than CROWD such pairs a row gives its rows that are in one, as
+    node and root with its key and part (null for pairs): crowd_links compares all of these on their whole codes.
     """
 
-    def leaders(codes: np.ndarray) -> Callable:
-        def run(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-            own = codes[lo:hi].view(np.uint64)
-            left, a, b = np.arange(hi - lo), [], []
-            while len(left):
-                near = left[np.bitwise_count(own[left] ^ own[left[0]]) <= radius]
-                a.append(np.full(len(near) - 1, left[0]))
-                b.append(near[1:])
-                left = np.setdiff1d(left, near, assume_unique=True)
-            return np.concatenate(a) + lo, np.concatenate(b) + lo
-
-        return run
+    def close(codes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of the pairs, or none, and which rows are in one if the pairs are too many."""
+        n, count = len(codes), 0
+        a, b, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(n, bool)
+        if (roots != roots[0]).any():
+            for i in range(0, n, 256):
+                near = np.bitwise_count(codes[i : i + 256, None] ^ codes[None, i:]) <= radius
+                near &= roots[i : i + 256, None] != roots[None, i:]
+                near = np.triu(near)
+                member[i : i + 256] |= near.any(1)
+                member[i:] |= near.any(0)
+                count += np.count_nonzero(near)
+                if count <= CROWD * n:
+                    x, y = np.nonzero(near)
+                    a.append(x + i)
+                    b.append(y + i)
+        if count > CROWD * n:
+            return a[0], b[0], np.flatnonzero(member)
+        return np.concatenate(a), np.concatenate(b), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, nodes, codes, roots in groups(batches):
-            a, b = close_pairs(starts, codes, radius, leaders(codes))
+        for starts, nodes, codes, roots, keys, parts in groups(with_group(batches)):
+            crowds = []
+
+            def on_large(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+                a, b, members = close(codes[lo:hi].view(np.uint64), roots[lo:hi])
+                crowds.append(members + lo)
+                return a + lo, b + lo
+
+            a, b = close_pairs(starts, codes, radius, on_large)
             differ = roots[a] != roots[b]
             a, b = a[differ], b[differ]
             pairs = np.unique(np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], schema=MEETINGS)
+            if crowds:
+                m = np.concatenate(crowds)
+                yield pa.RecordBatch.from_arrays([pa.array(c[m]) for c in (nodes, roots, keys, parts)], schema=MEETINGS)
 
-    return deal(rows, partitions=partitions).mapInArrow(run, "u long, v long").distinct()
+    return deal(rows, partitions=partitions).mapInArrow(run, "u long, v long, key long, part long").distinct()
+
+
+def with_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, code, root and, for groups() to keep, copies of key and part after them."""
+    for batch in batches:
+        names = ["key", "part", "node", "code", "root"]
+        columns = [batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*columns, *columns[:2]], names=[*names, "own_key", "own_part"])
+
+
+def crowd_links(rows: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
+    """u, v: links between roots that join those of which two rows of a group have codes at most `radius` apart.
+
+    rows: key, part, root and wide (the whole code); all pairs of a (key, part) are compared, by blocks.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, roots, wides in groups(batches, 20_000):
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(roots)], strict=True):
+                ids, at = np.unique(roots[lo:hi], return_inverse=True)
+                words = np.ascontiguousarray(np.frombuffer(b"".join(wides[lo:hi]), "<u8").reshape(hi - lo, -1).T)
+                top = np.arange(len(ids))
+                for i in range(0, hi - lo, 256):
+                    apart = np.zeros((min(256, hi - lo - i), hi - lo - i), np.uint16)
+                    for w in words:
+                        apart += np.bitwise_count(w[i : i + 256, None] ^ w[None, i:])
+                    own = top[at]
+                    x, y = np.nonzero((apart <= radius) & (own[i : i + 256, None] != own[None, i:]))
+                    top = join_roots(top, at[x + i], at[y + i])
+                moved = np.flatnonzero(top != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[top[moved]]), pa.array(ids[moved])], schema=PAIRS)
+
+    dealt = rows.select("key", "part", "root", "wide").repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

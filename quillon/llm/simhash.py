@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, partitions_for, slices
-from quillon.llm.links import candidate_links, components, exact_links, star_links
+from quillon.llm.links import candidate_links, components, crowd_links, exact_links, star_links
 
 SEED = 42
 BYTES = np.uint64(0x0101010101010101)
@@ -182,8 +182,12 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     stars = components(verified(star_links(wide_rows(own, 4), CHECK_RADIUS, n)))
     joined = materialize(own.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
-    rest = verified(candidate_links(wide_rows(joined), CHECK_RADIUS, n))
-    roots = components(stars.toDF("v", "u").select("u", "v").union(rest))
+    met = materialize(candidate_links(wide_rows(joined), CHECK_RADIUS, n), "meetings", large=True)
+    rest = stars.toDF("v", "u").select("u", "v").union(verified(met.where("key is null").select("u", "v").distinct()))
+    crowds = met.where("key is not null")
+    if not crowds.isEmpty():
+        rest = rest.union(crowd_links(crowds.select(F.col("u").alias("node"), "key", "part").join(joined, "node"), WIDE_RADIUS, n))
+    roots = components(rest)
     own = materialize(own.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("group_id")), "wide-groups")
     return prints.join(own, "wide").select("doc_id", "group_id")
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -133,3 +134,72 @@ def test_near_duplicates_keep_the_first_of_each_group(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert None in ids and 9999 in ids
     assert {i for i in ids if i is not None and i < 9999} == {10 * i for i in range(60)}
+
+
+def shingle_set(text, k=5):
+    words = (text or "").lower().split()
+    return {hash(tuple(words[i : i + k])) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard_pairs(rows, least):
+    """Brute force over all pairs: (a, b) to the Jaccard similarity of their five-word shingles, where it is at least `least`."""
+    sets = [shingle_set(t) for _, t in rows]
+    holders = {}
+    for i, own in enumerate(sets):
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    common = [h for h in holders.values() if len(h) > 50]
+    dense = np.zeros((len(rows), len(common)), np.float32)
+    for k, held in enumerate(common):
+        dense[held, k] = 1
+    both = dense @ dense.T
+    for held in holders.values():
+        if 1 < len(held) <= 50:
+            both[np.ix_(held, held)] += 1
+    sizes = np.array([len(x) for x in sets], np.float32)
+    union = np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+    i, j = np.nonzero(np.triu(both >= least * union, 1) & (both > 0))
+    return {(rows[x][0], rows[y][0]): float(both[x, y] / union[x, y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+
+
+def template_rows(n=4000, pairs=200, seed=11):
+    """Documents that share boilerplate (similarity about 0.65), `pairs` of them with a copy at about 0.87."""
+    rnd = random.Random(seed)
+    word = lambda: f"v{rnd.randrange(10**7)}"
+    shared = [word() for _ in range(190)]
+    texts = [shared + [word() for _ in range(50)] for _ in range(n)]
+    for i in range(pairs):
+        copy = list(texts[5 * i + 3])
+        for at in (20, 90, 215):
+            copy[at + rnd.randrange(20)] = word()
+        texts.append(copy)
+    return [(d, " ".join(w)) for d, w in enumerate(texts)]
+
+
+def test_pairs_within_a_template_group_match_brute_force(spark):
+    rows = template_rows()
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    want = jaccard_pairs(rows, 0.8)
+    found = sum(got[a] == got[b] for a, b in want)
+    print(f"template group: {found} of {len(want)} pairs found, {len(set(got.values()))} groups")
+    assert len(want) == 200 and found >= 0.985 * len(want)
+    assert len(set(got.values())) == len(rows) - found, "documents that share only boilerplate are no copies"
+
+
+def test_a_crowded_bucket_loses_no_pair_to_its_leader(spark):
+    rnd = random.Random(3)
+    wide = {0: rnd.getrandbits(1280)}
+
+    def near(code, bits, lo=64):
+        return code ^ sum(1 << b for b in rnd.sample(range(lo, 1280), bits))
+
+    for i in range(1, 60):
+        wide[i] = near(wide[0], 300)
+    for i in range(60, 80):
+        wide[i] = near(wide[i - 40], 150)
+    rows = [(7, 0, n, 0, n, w.to_bytes(160, "little")) for n, w in wide.items()]
+    df = spark.createDataFrame(rows, "key long, part long, node long, code long, root long, wide binary")
+    met = links.candidate_links(df.select("key", "node", "code", "root"), 18).collect()
+    assert {r.u for r in met if r.key == 7} == set(wide) and not [r for r in met if r.key is None]
+    got = {tuple(sorted((r.u, r.v))) for r in links.crowd_links(df, 205).collect()}
+    assert got == {(i - 40, i) for i in range(60, 80)}
