@@ -63,8 +63,11 @@ def majority(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+def _runs(texts: list[bytes], k: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's shingles, one after the other, and their numbers; distinct: a repeated shingle counts once."""
     own = [shingle_hashes(t, k) for t in texts]
+    if distinct:
+        own = [list(set(o)) for o in own]
     lens = np.fromiter(map(len, own), np.int64, len(own))
     return np.fromiter((h for o in own for h in o), np.uint64, int(lens.sum())), lens
 
@@ -117,13 +120,13 @@ CHECK_RADIUS = 18
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, wide: WORDS x 64 bits, each word from its own mix of a shingle's hash."""
+    """doc_id, wide: WORDS x 64 bits, each word from its own mix of a shingle's hash; each distinct shingle votes once."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            hashes, lens = _runs(texts, shingle)
+            hashes, lens = _runs(texts, shingle, distinct=True)
             wide = np.zeros((len(lens), WORDS), "<u8")
             for w in range(WORDS):
                 x = hashes * odd[w]

@@ -203,3 +203,15 @@ def test_a_crowded_bucket_loses_no_pair_to_its_leader(spark):
     assert {r.u for r in met if r.key == 7} == set(wide) and not [r for r in met if r.key is None]
     got = {tuple(sorted((r.u, r.v))) for r in links.crowd_links(df, 205).collect()}
     assert got == {(i - 40, i) for i in range(60, 80)}
+
+
+def test_repeated_lines_neither_join_nor_part_documents(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"v{rnd.randrange(10**7)}" for _ in range(n)]
+    footer, line, base = words(14), words(14), words(500)
+    rows = [(i, " ".join(words(500) + footer * 30)) for i in (1, 2)]
+    rows += [(10 + i, " ".join(base + line * n)) for i, n in enumerate((1, 10, 20))]
+    want = jaccard_pairs(rows, 0.8)
+    assert set(want) == {(10, 11), (10, 12), (11, 12)}
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 10: 10, 11: 10, 12: 10}
