@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import slices
-from quillon.llm.repeats import BASE, powers, prefix_hashes, word_edges
+from quillon.llm.repeats import byte_hashes, word_edges
 
 STEPS = np.array([0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.75])
 CLASSES = [
@@ -57,8 +57,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         hit = (words[d:] == words[:-d]) & (line[d:] == line[:-d])
         return np.bincount(line[d:][hit], minlength=n) / per_word
 
-    total = prefix_hashes(data)
-    hashes = (total[ends] - total[starts]) * powers(len(data) + 1, pow(int(BASE), -1, 1 << 64))[starts]
+    hashes = byte_hashes(data, starts, length)
     text = np.repeat(np.arange(len(texts)), per_text)
     by = np.lexsort((hashes, text))
     equal = (hashes[by][1:] == hashes[by][:-1]) & (text[by][1:] == text[by][:-1])

@@ -16,8 +16,16 @@ are some 2 / (T - K + 2) of all positions.
 3. `join_spans`: spans meet their documents, by doc_id and a hash of the text, as repeated doc_ids may hold
    different texts.
 
-Results of 1 and 2 are written to the shared folder. Memory is bounded by a slice of text, a batch of
-anchors and a shuffle partition, whose number follows the input.
+Results of 1 and 2 are written to the shared folder. No task holds all rows of a hot anchor or window: rows
+that are not the first of theirs go out whenever MEET of them are held, by map tasks before the shuffle too.
+Where more than that remain (an anchor in distinct contexts everywhere), the anchors' windows are all asked
+for, which is more work for step 2 and the same result. Besides, memory is some 30 bytes a byte of the longest
+text, a batch of anchors and the distinct windows of a shuffle partition, whose number follows the input.
+
+What decides equality: bytes of windows, compared whole; words by 64-bit hashes (one to one for words of up to 8
+bytes of one length), 20-word windows by 128 bits of those; contexts within a bucket by 96 bits. These hashes
+aren't linear in the text, so no pattern of letters cancels out; by chance, 100 TB would hold some 1e-9 false
+contexts.
 """
 
 from __future__ import annotations
@@ -27,15 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SLICE_BYTES, materialize, partitions_for, slices
+from quillon.llm.common import materialize, partitions_for, slices
 
 U = np.uint64
 LOW24 = U((1 << 24) - 1)
 #: Positions searched for anchors at once, and anchors held before they are sent.
 BLOCK, HOLD = 1 << 18, 1_000_000
+#: Rows that a task holds before it lets go those that are not the first of theirs; windows that a map task holds.
+MEET, HOLD_WINDOWS = 3_000_000, 400_000
 #: A window's anchor is in one of so many ranges of places.
 CLASSES = 4
 CLASS_SHIFT = 20
@@ -45,6 +56,10 @@ _rng = np.random.default_rng(20_240_607)
 TABLE = _rng.integers(1, 1 << 64, 256, dtype=U)
 ODD = _rng.integers(0, 1 << 63, 512, dtype=U) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)
+#: By the number of bytes that belong to a run, the mask of a little-endian digit.
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Runs of up to so many bytes are hashed together; longer ones one by one.
+SHORT = 24
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -67,12 +82,19 @@ class Unit:
         """values with T zeros before each text and after the last; each text's start."""
         starts = np.cumsum(lens + self.T) - lens
         out = np.zeros(int((lens + self.T).sum()) + 2 * self.T + 8, values.dtype)
-        out[np.arange(len(values)) + np.repeat(starts - (np.cumsum(lens) - lens), lens)] = values
+        ends = np.cumsum(lens).tolist()
+        for at, n, end in zip(starts.tolist(), lens.tolist(), ends, strict=True):
+            out[at : at + n] = values[end - n : end]
         return out, starts
 
 
 class Bytes(Unit):
-    passes = 2
+    passes, step = 2, 8
+
+    def digit(self, symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The next `step` symbols from each place as one number, those beyond `size` as 0."""
+        view = np.lib.stride_tricks.as_strided(symbols, (len(symbols) - 7, 8), (1, 1))
+        return np.ascontiguousarray(view[at]).view("<u8").ravel() & KEEP[np.clip(size, 0, 8)]
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -89,6 +111,11 @@ class Bytes(Unit):
 
 
 class Words(Unit):
+    step = 1
+
+    def digit(self, symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.where(size > 0, symbols[at], U(0))
+
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes, lens = word_hashes(texts)
         return *self.lay(hashes, lens), lens
@@ -113,30 +140,27 @@ def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) and not gap[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
-    total = prefix_hashes(data)
-    words = mix((total[ends] - total[starts]) * powers(len(data) + 1, pow(int(BASE), -1, 1 << 64))[starts] + (ends - starts).astype(U)) | U(1)
-    return starts, ends, words
+    return starts, ends, byte_hashes(data, starts, ends - starts) | U(1)
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def chain(h: np.ndarray, digit: np.ndarray, odd: np.uint64) -> np.ndarray:
+    """One to one in each argument, and not linear in either."""
+    h = (h ^ digit) * odd
+    return h ^ (h >> U(29))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest asked for is kept for each base."""
-    own = _POWERS.get(base)
-    if own is None or len(own) < n:
-        own = np.ones(n + n // 8, U)
-        np.multiply.accumulate(np.full(len(own) - 1, base, U), out=own[1:])
-        if n <= 2 * SLICE_BYTES:
-            _POWERS[base] = own
-    return own[:n]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """At i, the sum of the bytes before i, each by its own value and its place's power; a run's difference, times the inverse power of its start, is its hash."""
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(TABLE[data] * powers(len(data), int(BASE)), out=total[1:])
-    return total
+def byte_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes."""
+    wide = np.concatenate([data, np.zeros(SHORT + 8, np.uint8)])
+    view = np.lib.stride_tricks.as_strided(wide, (len(wide) - 7, 8), (1, 1))
+    out = sizes.astype(U) * BASE
+    for k in range(SHORT // 8):
+        rows = np.flatnonzero(sizes > 8 * k)
+        digit = np.ascontiguousarray(view[starts[rows] + 8 * k]).view("<u8").ravel() & KEEP[np.minimum(sizes[rows] - 8 * k, 8)]
+        out[rows] = chain(out[rows], digit, ODD[k])
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    return mix(out)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,24 +229,14 @@ def edges(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def range_hashes(unit: Unit, symbols: np.ndarray, at: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each (begin, end) the hashes of those ranges of symbols, all near `at` (ascending), by differences of two power sums."""
-    out = [np.empty(len(at), U) for _ in ranges]
-    i = 0
-    while i < len(at):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK)))
-        low = min(int(a[i:j].min()) for a, _ in ranges)
-        x = unit.values(symbols[low : max(int(b[i:j].max()) for _, b in ranges)])
-        total = np.zeros(len(x) + 1, U)
-        for o in out:
-            o[i:j] = 0
-        for base in (int(BASE), int(ODD[0])):
-            np.cumsum(x * powers(len(x), base), out=total[1:])
-            back = powers(len(x) + 1, pow(base, -1, 1 << 64))
-            for o, (a, b) in zip(out, ranges, strict=True):
-                o[i:j] = mix(o[i:j] + (total[b[i:j] - low] - total[a[i:j] - low]) * back[a[i:j] - low])
-        i = j
-    return [mix(o + (b - a).astype(U)) for o, (a, b) in zip(out, ranges, strict=True)]
+def range_hashes(unit: Unit, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, longest: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ranges of at most `longest` symbols."""
+    sizes = end - begin
+    out = mix(sizes.astype(U) + U(seed + 1) * BASE)
+    for k in range(0, longest, unit.step):
+        digit = unit.digit(symbols, np.minimum(begin + k, len(symbols) - 8), sizes - k)
+        out = chain(out, digit, ODD[256 * seed + k // unit.step])
+    return mix(out)
 
 
 def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,6 +298,17 @@ def later(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, row: np.ndarray
     return larger | (places[row] != places[first]) | (keys[row] != keys[first]) if within else larger
 
 
+def repeated(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, context: np.ndarray, more: np.ndarray, within: bool) -> np.ndarray:
+    """Which rows (by doc_id, place) come after another of the same context and `more`."""
+    order = np.argsort(context, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (context[order][1:] != context[order][:-1]) | (more[order][1:] != more[order][:-1])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.zeros(len(order), bool)
+    out[order] = later(ids, keys, places, order, first, within)
+    return out
+
+
 def firsts(group: np.ndarray) -> np.ndarray:
     """For sorted group numbers, the index of each row's group's first row."""
     new = np.ones(len(group), bool)
@@ -314,23 +339,23 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
         doc = back[doc]
         by = np.argsort(doc, kind="stable")
         doc, place, reach, h, context, sides = (c[by] for c in (doc, place, reach, h, context, sides))
-        order = np.argsort(context, kind="stable")
-        first = order[firsts(context[order])]
-        settled = np.zeros(len(doc), bool)
-        settled[order] = later(ids[doc], keys[doc], place, order, first, within)
+        settled = repeated(ids[doc], keys[doc], place, context, sides[:, 0], within)
         d, lo, hi = merged(doc[settled], place[settled], place[settled] + reach[settled, 0].astype(np.int32) + unit.T)
         if len(d):
             yield pa.RecordBatch.from_arrays([pa.array(d % n, pa.int32()), pa.nulls(len(d), pa.binary()), *spans_batch(ids[d], keys[d], lo, hi).columns], schema=ROUTED)
         doc, place, reach, h, context, sides = (c[~settled] for c in (doc, place, reach, h, context, sides))
         bucket = h.astype(np.int64) % n
         by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-        for b in range(n):
-            own = by[cuts[b] : cuts[b + 1]]
-            if len(own):
-                used, at = np.unique(doc[own], return_inverse=True)
-                body = [np.array([len(own), len(used)], np.int64), np.diff(ids[used], prepend=0), keys[used].astype(np.uint32), at.astype(np.uint32 if len(used) > 65_535 else np.uint16), place[own].astype(np.uint32), reach[own], sides[own], context[own]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b"".join(x.tobytes() for x in body)], pa.binary()), *(pa.nulls(1, f.type) for f in SPANS)], schema=ROUTED)
+        cuts = np.append(edges(bucket[by]), len(by)) if len(by) else np.zeros(1, np.int64)
+        bodies = []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            own = by[a:b]
+            used, at = np.unique(doc[own], return_inverse=True)
+            body = [np.array([len(own), len(used)], np.int64), np.diff(ids[used], prepend=0), keys[used].astype(np.uint32), at.astype(np.uint32 if len(used) > 65_535 else np.uint16), place[own].astype(np.uint32), reach[own], sides[own], context[own]]
+            bodies.append(b"".join([x.tobytes() for x in body]))
+        if bodies:
+            buckets = bucket[by][cuts[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(len(bodies), f.type) for f in SPANS)], schema=ROUTED)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, keys, n_docs, size = [], [], [], 0, 0
@@ -338,12 +363,16 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
             symbols, starts, lens = unit.symbols(texts)
             at, h, first, last = anchors(unit, symbols, starts, lens)
             doc = np.searchsorted(starts, at, "right") - 1
-            cores = [(at - x, at - y + unit.T) for x, y in classes]
-            context, *sides = range_hashes(unit, symbols, at, [(first, last + unit.T), *((np.maximum(a, 0), b) for a, b in cores)])
-            # a class without windows here matches nothing
-            sides = [np.where((first <= at - x) & (last >= at - y), s, context ^ U(x + 1)) >> U(32) for s, (x, y) in zip(sides, classes, strict=True)]
+            context, more = (range_hashes(unit, symbols, first, last + unit.T, unit.T + rest, seed) for seed in (0, 1))
+            sides = [more]
+            for x, y in classes:
+                # a class without windows here matches nothing
+                own = np.flatnonzero((first <= at - x) & (last >= at - y))
+                side = context ^ U(x + 1)
+                side[own] = range_hashes(unit, symbols, at[own] - x, at[own] - y + unit.T, unit.T)
+                sides.append(side)
             reach = np.stack([last - first, at - first], 1)
-            held.append(((doc + n_docs).astype(np.int32), (first - starts[doc]).astype(np.int32), reach.astype(small), (h >> U(32)).astype(np.uint32), context, np.stack(sides, 1).astype(np.uint32)))
+            held.append(((doc + n_docs).astype(np.int32), (first - starts[doc]).astype(np.int32), reach.astype(small), (h >> U(32)).astype(np.uint32), context, np.stack([(x >> U(32)).astype(np.uint32) for x in sides], 1)))
             ids.append(part.column("doc_id").to_numpy())
             keys.append(part.column("key").to_numpy())
             n_docs, size = n_docs + len(texts), size + len(at)
@@ -353,47 +382,76 @@ def survey(docs: DataFrame, unit: Unit, within: bool, n: int) -> DataFrame:
         if size:
             yield from send(held, ids, keys)
 
+    def unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+        """doc_id, key, place, reach, sides, context of a payload's anchors."""
+        m, u = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        kind = np.dtype(np.uint32 if u > 65_535 else np.uint16)
+        shapes = [(np.int64, u, ()), (np.uint32, u, ()), (kind, m, ()), (np.uint32, m, ()), (small, m, (2,)), (np.uint32, m, (len(classes) + 1,)), (U, m, ())]
+        at, parts = 16, []
+        for dtype, length, shape in shapes:
+            count = length * int(np.prod(shape, dtype=np.int64))
+            parts.append(np.frombuffer(raw, dtype, count, at).reshape(length, *shape))
+            at += count * np.dtype(dtype).itemsize
+        gaps, keys, own, place, reach, sides, context = parts
+        return np.cumsum(gaps)[own], keys.astype(np.int64)[own], place, reach, sides, context
+
+    def windows_of(rows: list[np.ndarray], ask: np.ndarray, side: int) -> pa.RecordBatch:
+        """The class's windows of the anchors `ask`, as starts relative to the first."""
+        doc, key, place, reach, _, _ = rows
+        x, y = classes[side]
+        far, own = reach[ask, 0].astype(np.int64), reach[ask, 1].astype(np.int64)
+        begin, end = np.maximum(own - y, 0), np.minimum(own - x, far)
+        some = begin <= end
+        ask, begin, end = ask[some], begin[some], end[some]
+        return spans_batch(doc[ask], key[ask], place[ask] + begin, begin - end - 1 - (side << CLASS_SHIFT))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, keys_, places, reaches, sides_, contexts = [], [], [], [], [], []
+        held: list[tuple[np.ndarray, ...]] = []
+        size, full = 0, False
+
+        def let_go() -> pa.RecordBatch:
+            """Sort what is held, and leave only firsts."""
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            by = np.lexsort((rows[1], rows[2], rows[0]))
+            rows = [c[by] for c in rows]
+            doc, key, place, reach, sides, context = rows
+            settled = repeated(doc, key, place, context, sides[:, 0], within)
+            held.append(tuple(c[~settled] for c in rows))
+            lo = place[settled].astype(np.int64)
+            return spans_batch(doc[settled], key[settled], lo, lo + reach[settled, 0] + unit.T)
+
         for batch in batches:
             through = batch.filter(batch.column("doc_id").is_valid())
             if through.num_rows:
                 yield through.select(SPANS.names)
             for raw in batch.column("payload").drop_null().to_pylist():
-                m, u = np.frombuffer(raw, np.int64, 2)
-                at = 16
-                ids = np.cumsum(np.frombuffer(raw, np.int64, u, at))
-                keys = np.frombuffer(raw, np.uint32, u, at := at + 8 * u).astype(np.int64)
-                kind = np.uint32 if u > 65_535 else np.uint16
-                own = np.frombuffer(raw, kind, m, at := at + 4 * u)
-                places.append(np.frombuffer(raw, np.uint32, m, at := at + own.itemsize * m))
-                reaches.append(np.frombuffer(raw, small, 2 * m, at := at + 4 * m).reshape(m, 2))
-                sides_.append(np.frombuffer(raw, np.uint32, len(classes) * m, at := at + 2 * m * small().itemsize).reshape(m, -1))
-                contexts.append(np.frombuffer(raw, U, m, at + 4 * len(classes) * m))
-                docs_.append(ids[own])
-                keys_.append(keys[own])
-        if not places:
+                held.append(unpacked(raw))
+                size += len(held[-1][0])
+                if size < MEET:
+                    continue
+                yield let_go()
+                size = len(held[0][0])
+                if size > MEET // 2:
+                    for side in range(len(classes)):
+                        yield windows_of(held[0], np.arange(size), side)
+                    held.clear()
+                    size, full = 0, True
+        if not held:
             return
-        doc, key, place, reach, sides, context = (np.concatenate(c) for c in (docs_, keys_, places, reaches, sides_, contexts))
-        by = np.lexsort((key, place, doc))
-        doc, key, place, reach, sides, context = (c[by] for c in (doc, key, place.astype(np.int64), reach.astype(np.int64), sides, context))
-        order = np.argsort(context, kind="stable")
-        first = order[firsts(context[order])]
-        settled = np.zeros(len(doc), bool)
-        settled[order] = later(doc, key, place, order, first, within)
-        rows = np.flatnonzero(settled)
-        yield spans_batch(doc[rows], key[rows], place[rows], place[rows] + reach[rows, 0] + unit.T)
-        rows = np.flatnonzero(~settled)
-        for side, (x, y) in enumerate(classes):
-            by = rows[np.argsort(sides[rows, side], kind="stable")]
-            start = firsts(sides[by, side])
-            several = np.zeros(len(by), bool)
-            np.logical_or.at(several, start, context[by] != context[by[start]])
-            ask = np.sort(by[several[start]])
-            # the class's windows of this anchor, as starts relative to the first
-            begin, end = np.maximum(reach[ask, 1] - y, 0), np.minimum(reach[ask, 1] - x, reach[ask, 0])
-            ask, begin, end = ask[begin <= end], begin[begin <= end], end[begin <= end]
-            yield spans_batch(doc[ask], key[ask], place[ask] + begin, begin - end - 1 - (side << CLASS_SHIFT))
+        yield let_go()
+        doc, key, place, reach, sides, context = held[0]
+        for side in range(len(classes)):
+            if full:
+                ask = np.arange(len(doc))
+            else:
+                own = sides[:, side + 1]
+                by = np.argsort(own, kind="stable")
+                start = firsts(own[by])
+                several = np.zeros(len(by), bool)
+                np.logical_or.at(several, start, context[by] != context[by[start]])
+                ask = np.sort(by[several[start]])
+            yield windows_of(held[0], ask, side)
 
     rows = docs.where("doc_id is not null").mapInArrow(scan, "bucket int, payload binary, " + SPAN)
     return rows.repartitionById(n, F.col("bucket")).mapInArrow(meet, SPAN)
@@ -406,47 +464,66 @@ def settle(docs: DataFrame, asked: DataFrame, unit: Unit, within: bool, n: int)
     names = [f"d{i}" for i in range(len(probe))]
     schema = pa.schema([*((d, pa.int64()) for d in names), *SPANS])
 
+    def only_firsts(c: dict[str, np.ndarray]) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
+        """Spans of the windows that come after another of the same text, and the rest."""
+        by = np.lexsort((c["key"], c["lo"], c["doc_id"]))
+        c = {k: v[by] for k, v in c.items()}
+        order, group = radix_groups([c[d].view(U) for d in names])
+        gone = np.zeros(len(by), bool)
+        gone[order] = later(c["doc_id"], c["key"], c["lo"], order, order[firsts(group)], within)
+        lo = c["lo"][gone]
+        return spans_batch(c["doc_id"][gone], c["key"][gone], lo, lo + T), {k: v[~gone] for k, v in c.items()}
+
+    def all_of(held: list[dict]) -> dict[str, np.ndarray]:
+        return {k: np.concatenate([c[k] for c in held]) for k in held[0]}
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            found, c = only_firsts(all_of(held))
+            held.clear()
+            none = [pa.nulls(found.num_rows, pa.int64()) for _ in names]
+            yield pa.RecordBatch.from_arrays([*none, *found.columns], schema=schema)
+            spans = spans_batch(c["doc_id"], c["key"], c["lo"], np.full(len(c["lo"]), -1, np.int32))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[d]) for d in names), *spans.columns], schema=schema)
+
         for part, texts in slices(batches):
-            symbols, starts, lens = unit.symbols(texts)
+            symbols, starts, _ = unit.symbols(texts)
             asked_of = part.column("places")
             doc = np.repeat(np.arange(len(texts)), np.diff(asked_of.offsets.to_numpy()))
             flat = asked_of.flatten()
             begin, n_own = starts[doc] + flat.field("lo").to_numpy(), -flat.field("hi").to_numpy().astype(np.int64) & (1 << CLASS_SHIFT) - 1
-            at = np.sort(np.repeat(begin - np.cumsum(n_own) + n_own, n_own) + np.arange(n_own.sum()))
-            doc = np.searchsorted(starts, at, "right") - 1
-            ids, keys = part.column("doc_id").to_numpy(), part.column("key").to_numpy()
-            rank = np.argsort(ids[doc], kind="stable")  # by doc_id, then place
-            at, doc = at[rank], doc[rank]
+            at = np.repeat(begin - np.cumsum(n_own) + n_own, n_own) + np.arange(n_own.sum())
             if not len(at):
                 continue
-            digits = unit.digits(symbols, at, T)
-            order, group = radix_groups(digits)
-            first = order[firsts(group)]
-            hit = np.zeros(len(at), bool)
-            lo = (at - starts[doc]).astype(np.int32)
-            hit[order] = later(ids[doc], keys[doc], lo, order, first, within)
-            rows = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), pa.int64()) for _ in names), *spans_batch(ids[doc[rows]], keys[doc[rows]], lo[rows], lo[rows] + T).columns], schema=schema)
-            rows = np.flatnonzero(~hit)
-            yield pa.RecordBatch.from_arrays([*(pa.array(d[rows].view(np.int64)) for d in digits), *spans_batch(ids[doc[rows]], keys[doc[rows]], lo[rows], np.full(len(rows), -1, np.int32)).columns], schema=schema)
+            doc = np.searchsorted(starts, at, "right") - 1
+            digits = {d: x.view(np.int64) for d, x in zip(names, unit.digits(symbols, at, T), strict=True)}
+            held.append({**digits, "doc_id": part.column("doc_id").to_numpy()[doc], "key": part.column("key").to_numpy()[doc], "lo": (at - starts[doc]).astype(np.int32)})
+            size += len(at)
+            if size >= HOLD_WINDOWS:
+                yield from send()
+                size = 0
+        if held:
+            yield from send()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, size, most = [], 0, MEET // 2
+        columns = [*names, "doc_id", "key", "lo"]
         for batch in batches:
             through = batch.filter(pc.greater_equal(batch.column("hi"), 0))
             if through.num_rows:
                 yield through.select(SPANS.names)
-            held.append(batch.filter(pc.less(batch.column("hi"), 0)))
-        if not sum(b.num_rows for b in held):
-            return
-        c = {f.name: np.concatenate([b.column(f.name).to_numpy() for b in held]) for f in schema}
-        by = np.lexsort((c["key"], c["lo"], c["doc_id"]))
-        c = {k: v[by] for k, v in c.items()}
-        order, group = radix_groups([c[d].view(U) for d in names])
-        first = order[firsts(group)]
-        rows = np.sort(order[later(c["doc_id"], c["key"], c["lo"], order, first, within)])
-        yield spans_batch(c["doc_id"][rows], c["key"][rows], c["lo"][rows], c["lo"][rows] + T)
+            own = batch.filter(pc.less(batch.column("hi"), 0))
+            held.append({k: own.column(k).to_numpy() for k in columns})
+            size += own.num_rows
+            if size >= most:
+                found, rest = only_firsts(all_of(held))
+                yield found
+                held, size = [rest], len(rest["lo"])
+                most = max(MEET // 2, 2 * size)  # distinct windows stay
+        if size:
+            yield only_firsts(all_of(held))[0]
 
     places = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     rows = docs.join(places, ["doc_id", "key"]).select("doc_id", "key", "text", "places")

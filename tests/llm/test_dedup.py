@@ -76,11 +76,9 @@ def test_small_slices_blocks_and_batches_give_the_same(spark, monkeypatch):
     unit = dedup.bytes_unit(50)
     symbols, starts, lens = unit.symbols(texts)
     whole = repeats.anchors(unit, symbols, starts, lens)
-    hashes = repeats.range_hashes(unit, symbols, whole[0], [(whole[2], whole[3] + 50)])[0]
     monkeypatch.setattr(repeats, "BLOCK", 97)
     small = repeats.anchors(unit, symbols, starts, lens)
     assert all((a == b).all() for a, b in zip(whole, small, strict=True))
-    assert (hashes == repeats.range_hashes(unit, symbols, small[0], [(small[2], small[3] + 50)])[0]).all()
     # every window belongs to one anchor inside it
     owned = np.concatenate([np.arange(a, b + 1) for a, b in zip(whole[2], whole[3], strict=True)])
     assert owned.tolist() == [s + i for s, n in zip(starts, lens, strict=True) for i in range(max(0, n - 49))]
@@ -101,3 +99,51 @@ def test_texts_left_and_odd_tables(spark):
     same = spark.createDataFrame([(5, text), (5, text), (5, "x " + text), (6, text), (None, text)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in dedup.repeated_words_digest(same.coalesce(1), 20).collect())
     assert got == [(0, 30, 0), (5, 30, 0), (5, 30, 0), (5, 31, 30), (6, 30, 30)]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_fool_linear_hashes_are_told_apart(spark):
+    x = thue_morse(4096)
+    y = x.translate(str.maketrans("ab", "ba"))
+    same = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*same, x])), (2, " ".join([*same, y])), (3, " ".join([*same, x]))]
+    got = {r.doc_id: r.n_removed for r in dedup.repeated_words_digest(frame(spark, rows), 20).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    rows = [(1, x), (2, y)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup.repeated_bytes_digest(frame(spark, rows), 50).collect()}
+    assert got == brute_bytes(rows, 50)
+
+
+def hot_corpus(n=150, seed=5):
+    """One boilerplate line with other words around it in every document, and copies."""
+    rnd = random.Random(seed)
+    line = "all rights of this publication are reserved by the holder of the rights and no part of it may be used in any form whatsoever"
+    rows = [(i, f"x{rnd.random()} y{rnd.random()} " + line + f" z{rnd.random()} " + " ".join(rnd.choices("abcdef", k=rnd.randint(0, 30)))) for i in range(n)]
+    return rows + [(1000 + i, t) for i, t in rows[:20]]
+
+
+@pytest.mark.parametrize("limits", [{"MEET": 40}, {"MEET": 40, "HOLD": 30, "HOLD_WINDOWS": 25}, {}])
+def test_a_hot_anchor_gives_the_same_whatever_a_task_may_hold(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    for rows in (hot_corpus(), corpus(12)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in dedup.repeated_words_digest(frame(spark, rows), 20).collect()}
+        assert got == brute_words(rows, 20)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup.repeated_bytes_digest(frame(spark, rows), 50).collect()}
+        assert got == brute_bytes(rows, 50)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(6)
+    some = " ".join(f"w{rnd.randrange(50_000)}" for _ in range(300_000))
+    rows = [(1, some), (2, "\n" * 2_000_000), (3, "q" * 2_000_000), (4, "start " + some[1000:-1000] + " end")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in dedup.repeated_words_digest(frame(spark, rows), 20).collect()}
+    shared = len(some[1000:-1000].split())
+    assert got[1] == (300_000, 0) and got[2] == (0, 0) and got[3] == (1, 0)
+    assert got[4][0] == shared + 2 and got[4][0] - got[4][1] in (2, 3, 4), "all but the two own words and words cut in half"
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in dedup.repeated_bytes_digest(frame(spark, rows), 50).collect()}
+    assert got[1] == (0, 0) and got[2] == (0, 0) and got[3] == (0, 0), "a string that recurs in its own document stays"
+    assert got[4] == (len(some) - 2000, 1)
