@@ -4,13 +4,19 @@ Text is cut at the file's special strings, normalised (NFC, lower case), cut at
 the file's pattern into pre-tokens; each pre-token's bytes are merged by rank. Two merge engines give the
 same result: `segment_tree_merge` (the root of a tree over adjacent pair ranks is the next merge) and
 `rank_synchronous_count` (ragged arrays; every sequence applies its lowest-rank pair at once).
+
+Python's and the regex package's Unicode tables are of other versions than the library's. Texts of the SAFE
+characters only, long assigned and alike in all tables, are cut here; any other text is normalised and cut by
+the library's own normaliser and pre-tokeniser, and merged here like the rest.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,9 +25,17 @@ import regex
 INF = np.int64(1) << 60
 #: Pre-tokens of more symbols than this are merged by the scalar tree; numpy's overhead is per level, not per word.
 SCALAR_FROM = 256
+#: Counted words of more symbols than this are merged by the scalar tree.
+TREE_FROM = 1 << 14
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACES}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: First and last of the ranges: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Thai, extended Latin and Greek,
+#: punctuation and signs, kana, Han, Hangul, full-width forms, emoji.
+SAFE_RANGES = [(0x0, 0x557), (0x559, 0x587), (0x591, 0x5C7), (0x5D0, 0x5EA), (0x600, 0x6FF), (0x900, 0x97F), (0xE01, 0xE5B), (0x1E00, 0x1FFE), (0x2000, 0x2064), (0x2070, 0x208E), (0x20A0, 0x20BF), (0x2100, 0x218B), (0x2190, 0x23FE), (0x2460, 0x27BF), (0x3000, 0x30FF), (0x4E00, 0x9FD5), (0xAC00, 0xD7A3), (0xFF01, 0xFFEE), (0xFFFD, 0xFFFD), (0x1F300, 0x1F64F), (0x1F680, 0x1F6C5), (0x1F910, 0x1F93E)]
+SAFE = np.zeros(0x110000, bool)
+for _low, _high in SAFE_RANGES:
+    SAFE[_low : _high + 1] = True
 
 
 def byte_characters() -> list[str]:
@@ -44,6 +58,8 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]"))
+        self.spec, self._library = spec, None
+        self.byte_of = {c: b for b, c in enumerate(byte_characters())}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         chars = byte_characters()
         self.inner = np.array([self.vocab[c] for c in chars], np.int64)
@@ -51,6 +67,7 @@ class WordBpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
         self.made = ids[:, 2].copy()
+        self.made_list = self.made.tolist()
         n = max(self.names) + 1
         first = np.full(n, len(ids), np.int64)  # the lowest rank of a merge that a symbol takes part in
         for side in (0, 1):
@@ -96,10 +113,27 @@ class WordBpe:
 
     # text to pre-tokens
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Special ids and, between them, normalised texts."""
+    def cut(self, text: str) -> list[str | tuple[str] | int]:
+        """Chunks without white space, special ids and, as tuples, pre-tokens of texts that the library cuts."""
         parts = self.split_special.split(text) if self.split_special else [text]
-        return [self.special[p] if i % 2 else normalise(p) for i, p in enumerate(parts) if p]
+        out: list = []
+        for i, p in enumerate(parts):
+            if i % 2:
+                out.append(self.special[p])
+            elif p.isascii() or SAFE[np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)].all():
+                out += self.chunks(normalise(p))
+            else:
+                out += self.by_library(p)
+        return out
+
+    def by_library(self, piece: str) -> list[tuple[str]]:
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.spec)
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))
+        return [(bytes([self.byte_of[c] for c in word]).decode(),) for word, _ in found]
 
     @staticmethod
     def chunks(piece: str) -> list[str]:
@@ -130,7 +164,7 @@ class WordBpe:
             own = np.flatnonzero((lens <= width) & (lens > width // 2))
             if width > SCALAR_FROM:
                 for i in own:
-                    out[i] = self._scalar_tree(flat[starts[i] : starts[i] + lens[i]].tolist())
+                    out[i] = self._scalar_tree(flat[starts[i] : starts[i] + lens[i]])
                 continue
             step = max(1, (1 << 21) // width)
             for k in range(0, len(own), step):
@@ -187,35 +221,41 @@ class WordBpe:
         keep = sym >= 0
         return np.split(sym[keep], np.cumsum(keep.sum(1))[:-1])
 
-    def _scalar_tree(self, sym: list[int]) -> np.ndarray:
-        """The same for one long word."""
-        n, width, rank_of, made_of = len(sym), 1 << (len(sym) - 1).bit_length(), self.rank_of, self.made.tolist()
-        none = (1 << 60, 0)
-        tree = [none] * (2 * width)
-        for i in range(n - 1):
-            r = rank_of.get(sym[i] << 32 | sym[i + 1])
-            if r is not None:
-                tree[width + i] = (r, i)
-        for i in range(width - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+    def _scalar_tree(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one long word; some 50 bytes a symbol."""
+        n = len(symbols)
+        shift = (n - 1).bit_length()
+        width, place = 1 << shift, (1 << shift) - 1
+        none = 1 << 60
+        levels = np.full(2 * width, none, np.int64)
+        ranks = self.pair_ranks(symbols[:-1], symbols[1:])
+        levels[width : width + n - 1] = np.where(ranks < INF, ranks << shift | np.arange(n - 1), none)
+        h = width // 2
+        while h:
+            levels[h : 2 * h] = np.minimum(levels[2 * h : 4 * h : 2], levels[2 * h + 1 : 4 * h : 2])
+            h //= 2
+        tree, sym = array("q", levels.tobytes()), array("i", symbols.astype(np.int32).tobytes())
+        del levels, ranks
+        nxt, prv = (array("i", np.arange(k, n + k, dtype=np.int32).tobytes()) for k in (1, -1))
+        rank_of, made_of = self.rank_of, self.made_list
 
         def put(i: int, a: int, b: int) -> None:
             r = rank_of.get(a << 32 | b) if a >= 0 and b >= 0 else None
-            v, i = none if r is None else (r, i), width + i
-            if tree[i] is v:
+            v, i = none if r is None else r << shift | i, width + i
+            if tree[i] == v:
                 return
             tree[i] = v
             i >>= 1
             while i:
-                best = min(tree[2 * i], tree[2 * i + 1])
+                a, b = tree[2 * i], tree[2 * i + 1]
+                best = a if a < b else b
                 if tree[i] == best:
                     return
                 tree[i] = best
                 i >>= 1
 
-        while tree[1] is not none and tree[1][0] < 1 << 60:
-            r, i = tree[1]
+        while (root := tree[1]) < none:
+            r, i = root >> shift, root & place
             j = nxt[i]
             k, p = nxt[j], prv[i]
             sym[i], sym[j], nxt[i] = made_of[r], -1, k
@@ -225,13 +265,24 @@ class WordBpe:
             put(i, sym[i], sym[k] if k < n else -1)
             if p >= 0:
                 put(p, sym[p], sym[i])
-        return np.array([s for s in sym if s >= 0], np.int64)
+        out = np.array(sym, np.int64)
+        return out[out >= 0]
 
     def rank_synchronous_count(self, words: list[str]) -> np.ndarray:
-        """The number of symbols that each (non-empty) word keeps."""
+        """The number of symbols that each (non-empty) word keeps.
+
+        Rounds go over all symbols left, so words of over TREE_FROM symbols, of many rounds, are merged by the tree.
+        """
         sym, lens = self.symbols(words)
         counts = lens.copy()
         seq = np.arange(len(words))  # of the sequences still merging
+        if lens.max(initial=0) > TREE_FROM:
+            ends = np.cumsum(lens)
+            for i in np.flatnonzero(lens > TREE_FROM).tolist():
+                counts[i] = len(self._scalar_tree(sym[ends[i] - lens[i] : ends[i]]))
+            seq = np.flatnonzero(lens <= TREE_FROM)
+            sym = sym[np.repeat(lens <= TREE_FROM, lens)]
+            lens = lens[seq]
         while len(seq):
             ends = np.cumsum(lens)
             starts = ends - lens

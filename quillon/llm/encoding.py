@@ -2,9 +2,11 @@
 
 Both work on a word-end BPE file of the `tokenizers` library, given by its path and sent to the executors as
 a broadcast of the file's text (a vocabulary's size does not grow with the data). They are narrow: no
-shuffle, one pass, memory bounded by an Arrow slice and a cache of `CACHE` chunks. Null text counts as
-empty. Rows are independent, so repeated rows, ties and columns other than doc_id and text have no effect;
-other columns of the input are not carried, whatever their names.
+shuffle, one pass. Memory: a slice of texts (a longer text goes by parts of a slice's size, cut before white
+space), a cache of `CACHE` chunks, the ids of the longest text, and some 50 bytes a byte of the longest word.
+Null text counts as empty. An empty table gives no rows. Rows are independent, so repeated rows, ties and
+columns other than doc_id and text have no effect; other columns of the input are not carried, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillon.llm.bpe import WordBpe, word_bpe
-from quillon.llm.common import TwoGenerations, slices
+from quillon.llm.common import SLICE_BYTES, TwoGenerations, slices
 
 CACHE = 300_000
 
@@ -28,24 +30,49 @@ def read_file(path: str) -> str:
         return f.read()
 
 
-def _cut(bpe: WordBpe, texts: list[bytes]) -> tuple[list[list], set[str]]:
-    """Each text as chunks and special ids; the distinct chunks."""
-    docs, seen = [], set()
-    for raw in texts:
-        own: list = []
-        for piece in bpe.pieces(raw.decode("utf-8", "replace")):
-            if isinstance(piece, int):
-                own.append(piece)
-            else:
-                own += bpe.chunks(piece)
-        docs.append(own)
+def parts(raw: bytes, most: int) -> list[bytes]:
+    """A text in parts of about `most` bytes, each cut before a space or line end: no pre-token, special string or composed character goes over one."""
+    if len(raw) <= most:
+        return [raw]
+    out, at = [], 0
+    while len(raw) - at > most:
+        end = max(raw.rfind(b" ", at + 1, at + most), raw.rfind(b"\n", at + 1, at + most))
+        if end < 0:
+            ends = [e for e in (raw.find(b" ", at + most), raw.find(b"\n", at + most)) if e >= 0]
+            if not ends:
+                break
+            end = min(ends)
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
+
+
+def batched(texts: list[bytes], most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first text, one beyond the last, texts or, of one long text, a part), in order."""
+    first = 0
+    for i, raw in enumerate(texts):
+        if len(raw) > most:
+            if i > first:
+                yield first, i, texts[first:i]
+            first = i + 1
+            for p in parts(raw, most):
+                yield i, i + 1, [p]
+    if first < len(texts):
+        yield first, len(texts), texts[first:]
+
+
+def _cut(bpe: WordBpe, texts: list[bytes]) -> tuple[list[list], set]:
+    """Each text as chunks, pre-tokens and special ids; the distinct ones."""
+    docs = [bpe.cut(raw.decode("utf-8", "replace")) for raw in texts]
+    seen: set = set()
+    for own in docs:
         seen.update(own)
     return docs, seen
 
 
-def _words(bpe: WordBpe, chunks: list[str]) -> tuple[list[str], list[list[str]]]:
+def _words(bpe: WordBpe, chunks: list) -> tuple[list[str], list[list[str]]]:
     """The distinct pre-tokens of the chunks, and each chunk's own."""
-    own = [bpe.pre_tokens(c) for c in chunks]
+    own = [list(c) if isinstance(c, tuple) else bpe.pre_tokens(c) for c in chunks]
     return list({w for ws in own for w in ws}), own
 
 
@@ -59,7 +86,7 @@ class Encoder:
 
     def learn(self, seen: set) -> None:
         absent = self.ids.missing(seen)
-        chunks = [c for c in absent if isinstance(c, str)]
+        chunks = [c for c in absent if not isinstance(c, int)]
         words, own = _words(self.bpe, chunks)
         got = {w: a.astype("<u4").tobytes() for w, a in zip(words, self.bpe.segment_tree_merge(words), strict=True)} if words else {}
         for c, ws in zip(chunks, own, strict=True):
@@ -74,14 +101,20 @@ class Encoder:
         names = self.names
         return b" ".join([names[i] for i in ids.tolist()])
 
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def encode(self, texts: list[bytes], most: int = SLICE_BYTES) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text. Decoding is joined chunk by chunk: it maps each id on its own."""
-        docs, seen = _cut(self.bpe, texts)
-        self.learn(seen)
-        get = self.ids.__getitem__
-        for own in docs:
-            got = list(map(get, own))
-            yield b"".join([a for a, _ in got]), b" ".join([b for _, b in got])
+        ids: list[list[bytes]] = [[] for _ in texts]
+        decoded: list[list[bytes]] = [[] for _ in texts]
+        for first, end, some in batched(texts, most):
+            docs, seen = _cut(self.bpe, some)
+            self.learn(seen)
+            get = self.ids.__getitem__
+            for i, own in zip(range(first, end), docs, strict=True):
+                got = list(map(get, own))
+                ids[i].append(b"".join([a for a, _ in got]))
+                if got:
+                    decoded[i].append(b" ".join([b for _, b in got]))
+        return [(b"".join(a), b" ".join(b)) for a, b in zip(ids, decoded, strict=True)]
 
 
 @lru_cache(1)
@@ -99,7 +132,7 @@ def _encoded(spec, columns: list[str], emit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(spec.value)
         for part, texts in slices(batches):
-            got = emit(list(encoder.encode(texts)))
+            got = emit(encoder.encode(texts))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *got.values()], names=[*columns, *got])
 
     return run
@@ -134,15 +167,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, counts = word_bpe(spec.value), counts_of(spec.value)
         for part, texts in slices(batches):
-            cut, seen = _cut(bpe, texts)
-            absent = counts.missing(seen)
-            chunks = [c for c in absent if isinstance(c, str)]
-            words, own = _words(bpe, chunks)
-            got = dict(zip(words, bpe.rank_synchronous_count(words).tolist(), strict=True)) if words else {}
-            counts.update((c, sum([got[w] for w in ws])) for c, ws in zip(chunks, own, strict=True))
-            counts.update((c, 1) for c in absent if isinstance(c, int))
-            get = counts.__getitem__
-            n = np.array([sum(map(get, o)) for o in cut], np.int64)
+            n = np.zeros(len(texts), np.int64)
+            for first, end, some in batched(texts, SLICE_BYTES):
+                docs_, seen = _cut(bpe, some)
+                absent = counts.missing(seen)
+                chunks = [c for c in absent if not isinstance(c, int)]
+                words, own = _words(bpe, chunks)
+                got = dict(zip(words, bpe.rank_synchronous_count(words).tolist(), strict=True)) if words else {}
+                counts.update((c, sum([got[w] for w in ws])) for c, ws in zip(chunks, own, strict=True))
+                counts.update((c, 1) for c in absent if isinstance(c, int))
+                get = counts.__getitem__
+                n[first:end] += [sum(map(get, o)) for o in docs_]
             n_bytes = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -55,7 +55,7 @@ def test_counts_match_the_library(spark, texts):
 def test_both_engines_agree_on_long_and_periodic_words():
     bpe = WordBpe(read_file(WORD))
     rnd = random.Random(3)
-    words = ["a" * 5000, "ab" * 700, "thethethe" * 90, "".join(rnd.choice("etaoinshr") for _ in range(4000)), "x"]
+    words = ["a" * 5000, "ab" * 20_000,  "ab" * 700, "thethethe" * 90, "".join(rnd.choice("etaoinshr") for _ in range(4000)), "x"]
     assert bpe.rank_synchronous_count(words).tolist() == [len(a) for a in bpe.segment_tree_merge(words)]
 
 
@@ -94,5 +94,36 @@ def test_packing_round_trips_and_reads_at_random(width):
     assert (shard.ids(16_380, 33_000) == ids[16_380:33_000]).all()
 
 
+def test_every_code_point_is_cut_as_the_library_does():
+    bpe, library = WordBpe(read_file(WORD)), Tokenizer.from_file(WORD)
+    points = [c for c in [*range(0x30000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c <= 0xDFFF]
+    differ = []
+    for k in range(0, len(points), 4000):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}" for c in points[k : k + 4000]]
+        cuts = [[w for c in bpe.cut(t) for w in (c if isinstance(c, tuple) else bpe.pre_tokens(c))] for t in texts]
+        words = sorted({w for ws in cuts for w in ws})
+        ids = dict(zip(words, (a.tolist() for a in bpe.segment_tree_merge(words)), strict=True))
+        for c, e, ws in zip(points[k : k + 4000], library.encode_batch(texts, add_special_tokens=False), cuts, strict=True):
+            if e.ids != [i for w in ws for i in ids[w]]:
+                differ.append(hex(c))
+    assert not differ
+
+
+def test_very_long_texts_and_words(spark):
+    library = Tokenizer.from_file(WORD)
+    rnd = random.Random(5)
+    some = " ".join(rnd.choice(TEXTS[4:9]) + str(rnd.randrange(10**6)) for _ in range(60_000))
+    texts = ["\n" * 5_000_000, "".join(rnd.choice("etaoinshr") for _ in range(300_000)), some, some.replace(" ", "\n"), "é " * 700_000]
+    assert len(some) > 1 << 20
+    rows = docs_of(spark, texts)
+    counts = {r.doc_id: r.n_tokens for r in token_counts(rows, WORD).collect()}
+    got = {r.doc_id: r for r in bpe_digest(rows, WORD).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert counts[i] == got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_widths():
     assert [width_of(n) for n in (1, 2, 3, 50_257, 65_536, 65_537)] == [1, 1, 2, 16, 16, 17]
