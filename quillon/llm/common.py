@@ -81,6 +81,23 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-input_bytes(df) // bytes_each)))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, share: int = 500, parts: int = 64) -> DataFrame:
+    """rows joined to table, which has one row a key and, in column copies, how many of rows have it.
+
+    Keys of over 1 in `share` of all rows (so fewer than `share` keys, which are broadcast) are dealt over `parts`
+    tasks by column `by`; the result has no column copies.
+    """
+    total = table.agg(F.sum("copies")).first()[0] or 0
+    hot = table.where(F.col("copies") > total // share + 1000).select(key, F.lit(parts).alias("__parts"))
+    if total <= 1000 or hot.isEmpty():
+        return rows.join(table.drop("copies"), key)
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - F.lit(1).cast("long")))
+    table = table.drop("copies").join(hot, key, "left").withColumn("__salt", salts).drop("__parts")
+    return dealt.join(table, [key, "__salt"]).drop("__salt")
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

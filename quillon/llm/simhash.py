@@ -6,7 +6,9 @@ null counts as empty). A fingerprint's bit is 1 if it is set in over half of the
 
 Rows are grouped by fingerprint before any join, so exact copies, repeated rows and ties cost one row.
 Rows without doc_id get a fingerprint and take part in no component of their own making (their component
-is that of their fingerprint, null if only they have it). Only doc_id and text are read.
+is that of their fingerprint, null if only they have it). Only doc_id and text are read, whatever other
+columns are called. An empty table gives no rows. A text of any length is one slice of its own: some 40 bytes
+of memory a word.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, partitions_for, slices
+from quillon.llm.common import materialize, partitions_for, slices, spread_join
 from quillon.llm.links import candidate_links, components, crowd_links, exact_links, star_links
 
 SEED = 42
@@ -102,75 +104,84 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
         raise ValueError("the block scheme holds for at most 3 differing bits")
     n = partitions_for(docs)
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    own = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    own = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     roots = components(exact_links(block_rows(own), radius, n)).toDF("fingerprint", "root")
     own = own.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    own = materialize(own.join(least, "root").select("fingerprint", "component_id"), "fingerprint-components")
-    return prints.join(own, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    own = materialize(own.join(least, "root").select("fingerprint", "component_id", "copies"), "fingerprint-components")
+    return spread_join(prints, own, "fingerprint", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Wide fingerprints: similarity 0.8 of five-word shingles
 
-WORDS, BLOCK_BITS = 20, 20
+WORDS = 20
 #: Of 1,280 bits. A Jaccard similarity s has cosine 2s / (1 + s); at 0.8 some 194 bits differ (deviation 13), at 0.75 some 222.
-WIDE_RADIUS = 205
-#: Of the 64 bits that an index row carries beside its block; three deviations above the mean at similarity 0.8.
-CHECK_RADIUS = 18
+WIDE_RADIUS = 212
+#: Index keys a document, and least hashes in each: texts of similarity s share a key with probability 1 - (1 - s ** DEEP) ** BANDS.
+BANDS, DEEP = 14, 6
+#: Bands of the first round.
+FEW = 3
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, wide: WORDS x 64 bits, each word from its own mix of a shingle's hash; each distinct shingle votes once."""
+    """doc_id, wide, bands: WORDS x 64 bits, each word from its own mix of a shingle's hash, and the index keys.
+
+    Each distinct shingle votes once. Texts without a word have the fingerprint and the keys of the empty set.
+    """
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+    orders = rng.integers(1 << 62, 1 << 63, (BANDS, DEEP), dtype=np.uint64) | np.uint64(1)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        return x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             hashes, lens = _runs(texts, shingle, distinct=True)
             wide = np.zeros((len(lens), WORDS), "<u8")
             for w in range(WORDS):
-                x = hashes * odd[w]
-                x ^= x >> np.uint64(31)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(29)
-                wide[:, w] = majority(x, lens)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in wide], pa.binary())], names=["doc_id", "wide"])
-
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, wide binary")
-
-
-def wide_rows(codes: DataFrame, every: int = 1) -> DataFrame:
-    """key, node, code, and root if codes have it: one row for each 20-bit block, or for one in `every`, with 64 other bits to check."""
-    chosen = np.arange(0, WORDS * 64 // BLOCK_BITS, every)
+                wide[:, w] = majority(mixed(hashes * odd[w]), lens)
+            full = np.flatnonzero(lens)
+            starts = np.cumsum(lens[full]) - lens[full]
+            keys = np.zeros((len(lens), BANDS), np.uint64)
+            for b in range(BANDS):
+                key = np.full(len(full), b + 1, np.uint64)
+                for o in orders[b]:
+                    key = mixed((key ^ np.minimum.reduceat(hashes * o, starts)) * odd[0]) if len(full) else key
+                keys[full, b] = key
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in wide], pa.binary()), flat], names=["doc_id", "wide", "bands"])
+
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, wide binary, bands array<long>")
+
+
+def band_rows(codes: DataFrame, most: int = BANDS) -> DataFrame:
+    """key, node, code, and root if codes have it: a row for each of the first `most` bands; nothing is left to check by code."""
     others = [c for c in ("root",) if c in codes.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                raw = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, WORDS * 8)
-                words = np.ascontiguousarray(raw).view("<u8")
-                bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(part.num_rows, -1, BLOCK_BITS)[:, chosen]
-                values = (bits.astype(np.int32) @ (1 << np.arange(BLOCK_BITS, dtype=np.int32))).astype(np.int64)
-                keys = (chosen.astype(np.int64) << BLOCK_BITS) + values
-                check = words[:, (chosen * BLOCK_BITS // 64 + WORDS // 2) % WORDS].view(np.int64)
-                node, *rest = (pa.array(np.repeat(part.column(c).to_numpy(), len(chosen))) for c in ("node", *others))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node, pa.array(np.ascontiguousarray(check).ravel()), *rest], names=["key", "node", "code", *others])
-
-    return codes.mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "node", "code", *others)))
+    return codes.select(F.explode(F.slice("bands", 1, most)).alias("key"), "node", F.lit(0).cast("long").alias("code"), *others)
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, group_id: the least doc_id of the documents linked by five-word similarity of about 0.8 or more.
 
-    Equal fingerprints are one node. Nodes that share a block of 20 bits and pass a check of 64 bits are
-    verified on all 1,280. Blocks find a pair of similarity 0.8 with probability 0.91, of 0.85 with 0.99.
-    A quarter of the blocks first joins each node with the least of its bucket only; then all blocks give the
-    pairs that are not joined yet, so a large group of copies costs a few pairs a node in place of all.
+    Equal fingerprints are one node. Nodes that share a key of DEEP least hashes are verified on all 1,280 bits of
+    their fingerprints. Keys are found for a pair of similarity 0.8 with probability 0.986, of 0.85 with 0.999;
+    the Hamming limit passes 0.91 of the pairs at just 0.8, 0.98 at 0.82, and a fifth of those at 0.75. Few bands first join
+    each node with the least of its bucket only; then all bands give the pairs that are not joined yet, so a
+    large group of copies costs a few pairs a node in place of all.
+
+    Null and empty texts are alike (no shingle); a text of fewer words than a shingle is one shingle. Repeated
+    rows are one node; rows of one doc_id with several texts are linked. Rows without doc_id are left out. An
+    empty table gives no rows. Only doc_id and text are read. A very long text is one slice: some 40 bytes a word.
     """
     n = partitions_for(docs)
     prints = materialize(wide_fingerprints(docs, shingle), "wide")
-    own = materialize(prints.groupBy("wide").agg(F.min("doc_id").alias("node")), "distinct-wide")
+    own = prints.groupBy("wide").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    own = materialize(own.select("wide", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands"), "copies"), "distinct-wide")
+    whole = own.select("wide", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,19 +191,20 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "candidates", large=True)
-        pairs = pairs.join(own.toDF("a", "u"), "u").join(own.toDF("b", "v"), "v")
+        pairs = pairs.join(whole.toDF("a", "u"), "u").join(whole.toDF("b", "v"), "v")
         return pairs.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
-    stars = components(verified(star_links(wide_rows(own, 4), CHECK_RADIUS, n)))
+    stars = components(verified(star_links(band_rows(own, FEW), 64, n)))
     joined = materialize(own.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
-    met = materialize(candidate_links(wide_rows(joined), CHECK_RADIUS, n), "meetings", large=True)
+    met = materialize(candidate_links(band_rows(joined), 64, n), "meetings", large=True)
     rest = stars.toDF("v", "u").select("u", "v").union(verified(met.where("key is null").select("u", "v").distinct()))
     crowds = met.where("key is not null")
     if not crowds.isEmpty():
-        rest = rest.union(crowd_links(crowds.select(F.col("u").alias("node"), "key", "part").join(joined, "node"), WIDE_RADIUS, n))
+        members = crowds.select(F.col("u").alias("node"), "key", "part").join(joined.select("node", "root", "wide"), "node")
+        rest = rest.union(crowd_links(members, WIDE_RADIUS, n))
     roots = components(rest)
-    own = materialize(own.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("group_id")), "wide-groups")
-    return prints.join(own, "wide").select("doc_id", "group_id")
+    own = materialize(own.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("group_id"), "copies"), "wide-groups")
+    return spread_join(prints.select("doc_id", "wide"), own, "wide", "doc_id").select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import links, simhash
+from quillon.llm.common import spread_join
 
 
 def fingerprint(text, k=3):
@@ -215,3 +216,33 @@ def test_repeated_lines_neither_join_nor_part_documents(spark):
     assert set(want) == {(10, 11), (10, 12), (11, 12)}
     got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
     assert got == {1: 1, 2: 2, 10: 10, 11: 10, 12: 10}
+
+
+def test_recall_near_the_threshold_against_brute_force(spark):
+    """Pairs of similarity 0.8 to 0.9: at least nine in ten are found, and few pairs below 0.72 are."""
+    rnd = random.Random(21)
+    word = lambda: f"v{rnd.randrange(10**7)}"
+    rows, d = [], 0
+    for _ in range(900):
+        base = [word() for _ in range(rnd.randint(120, 400))]
+        copy = list(base)
+        for at in rnd.sample(range(len(base)), max(1, round(len(base) * rnd.uniform(0.008, 0.042)))):
+            copy[at] = word()
+        rows += [(d, " ".join(base)), (d + 1, " ".join(copy))]
+        d += 2
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    every = jaccard_pairs(rows, 0.4)
+    want = {p for p, s in every.items() if 0.8 <= s <= 0.9}
+    found = sum(got[a] == got[b] for a, b in want)
+    low = {p for p, s in every.items() if s < 0.72}
+    wrong = sum(got[a] == got[b] for a, b in low)
+    print(f"similarity 0.8 to 0.9: {found} of {len(want)}; below 0.72: {wrong} of {len(low)}")
+    assert len(want) > 150 and found >= 0.93 * len(want)
+    assert len(low) > 100 and wrong <= 0.03 * len(low)
+
+
+def test_hot_keys_are_spread_and_join_the_same(spark):
+    rows = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 7, id) as k")
+    table = rows.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    got = {(r.doc_id, r.k, r.least) for r in spread_join(rows, table, "k", "doc_id").collect()}
+    assert got == {(i, 7 if i % 3 == 0 else i, 0 if i % 3 == 0 or i == 7 else i) for i in range(6000)}
