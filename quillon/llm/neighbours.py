@@ -7,11 +7,15 @@ floor(r / substrings) bits, so probing those buckets of each index retrieves eve
 of the bits are then checked and the exact distances of the original vectors decide.
 
 The rotations and r come from a bounded sample (SAMPLE rows, by a hash of vec_id; r is the `reach` quantile
-of the Hamming distances of the sample's true neighbours). Every row is indexed. Queries go to the
-executors in chunks of at most QUERY_CHUNK, one pass over the index each; queries that find fewer than k
-within r are searched again against all rows, exactly. Rows that are null, of another length than most, all
-zero, or hold null or non-finite components take no part. Rows of one vec_id count once, by their nearest;
-a query's own vec_id is no candidate. An empty table gives no rows.
+of the Hamming distances of the sample's true neighbours). Every row is indexed, in blocks dealt over parts; a
+part is one task's, and its size doesn't grow with the table. Queries are a table too: in blocks, each is sent to
+every part, so none come to the driver. Queries that find fewer than k within r are searched once more in all
+rows, exactly, in the same way.
+
+Rows that are null, of another length than most, all zero, or hold null or non-finite components take no part.
+Rows of one vec_id count once, by their nearest; of a query's rows the least vector (component by component)
+asks; a query's own vec_id is no candidate. Vectors keep their type, and distances are taken in doubles. An
+empty table gives no rows. Only vec_id and embedding are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -27,16 +31,23 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialize
 
 CODE_BITS, SUB = 256, 16
-SAMPLE, QUERY_CHUNK, INDEX_BLOCK = 8192, 8192, 8192
+SAMPLE, INDEX_BLOCK, QUERY_BLOCK, PART_BLOCKS = 8192, 8192, 256, 4
+#: Bytes of vectors in a block of the index.
+BLOCK_BYTES = 4 << 20
 
 
-def valid(ids: pa.Array, column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and float32 vectors of the rows that take part."""
-    lens = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero((lens == d) & ids.is_valid().to_numpy(zero_copy_only=False))
-    x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-    ok = np.isfinite(x).all(1) & (x != 0).any(1)
-    return ids.take(pa.array(rows)).to_numpy(zero_copy_only=False)[ok], x[ok]
+def taking_part(embeddings: DataFrame) -> tuple[DataFrame, int]:
+    """vec_id and embedding of the rows that take part, and the vectors' length."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    rows = rows.where(finite & F.exists("embedding", lambda x: x != 0))
+    most = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    d = most["d"] if most else 0
+    return rows.where(F.size("embedding") == d), d
+
+
+def vectors(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
 @dataclass
@@ -83,33 +94,45 @@ def learn(x: np.ndarray, k: int, reach: float = 0.98, seed: int = 11) -> Coder:
 
 
 INDEX = "ids binary, vectors binary, codes binary, orders binary, offsets binary"
+INDEX_NAMES = ["ids", "vectors", "codes", "orders", "offsets"]
 
 
-def build_index(embeddings: DataFrame, coder: Coder, d: int) -> DataFrame:
-    """Blocks of at most INDEX_BLOCK rows: ids, vectors, codes and, for each substring, the rows by its value."""
-    n_sub = CODE_BITS // SUB
+def build_index(rows: DataFrame, coder: Coder, d: int) -> DataFrame:
+    """Blocks of rows: ids, vectors, codes and, for each substring, the rows by its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = valid(batch.column("vec_id"), batch.column("embedding"), d)
-            for k in range(0, len(ids), INDEX_BLOCK):
-                part, own = x[k : k + INDEX_BLOCK], ids[k : k + INDEX_BLOCK]
+            ids, x = vectors(batch, d)
+            step = max(64, min(INDEX_BLOCK, BLOCK_BYTES // (d * x.itemsize)))
+            for k in range(0, len(ids), step):
+                part, own = x[k : k + step], ids[k : k + step]
                 codes = coder.codes(part)
                 values = codes.view("<u2")
                 orders = np.argsort(values, axis=0, kind="stable").T.astype("<u2")
-                body = [own.astype("<i8"), part.astype("<f4"), codes, orders, np.take_along_axis(values.T, orders.astype(np.int64), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in body], names=["ids", "vectors", "codes", "orders", "offsets"])
+                body = [own.astype("<i8"), part, codes, orders, np.take_along_axis(values.T, orders.astype(np.int64), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in body], names=INDEX_NAMES)
+
+    return rows.mapInArrow(run, INDEX)
+
 
-    if n_sub * SUB != CODE_BITS:
-        raise ValueError("substrings must fill the code")
-    return embeddings.select("vec_id", "embedding").mapInArrow(run, INDEX)
+def query_blocks(rows: DataFrame, coder: Coder, d: int) -> DataFrame:
+    """Blocks of queries: ids, vectors, codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = vectors(batch, d)
+            for k in range(0, len(ids), QUERY_BLOCK):
+                body = [ids[k : k + QUERY_BLOCK].astype("<i8"), x[k : k + QUERY_BLOCK], coder.codes(x[k : k + QUERY_BLOCK])]
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in body], names=INDEX_NAMES[:3])
+
+    return rows.select("vec_id", "embedding").mapInArrow(run, "ids binary, vectors binary, codes binary")
 
 
 class Block:
-    def __init__(self, row: dict, d: int):
+    def __init__(self, row: dict, d: int, kind: str):
         self.ids = np.frombuffer(row["ids"], "<i8")
         n = len(self.ids)
-        self.vectors = np.frombuffer(row["vectors"], "<f4").reshape(n, d).astype(np.float64)
+        self.vectors = np.frombuffer(row["vectors"], kind).reshape(n, d).astype(np.float64)
         self.codes = np.frombuffer(row["codes"], "<u8").reshape(n, -1)
         self.orders = np.frombuffer(row["orders"], "<u2").reshape(-1, n)
         self.buckets = []
@@ -146,35 +169,47 @@ def hamming_balls(most: int = 3) -> list[np.ndarray]:
 NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def search(index: DataFrame, coder: Coder, ids: np.ndarray, x: np.ndarray, k: int, radius: int | None) -> DataFrame:
-    """query_id, vec_id, score: each task's k nearest of its blocks; radius None: of all rows."""
-    sent = index.sparkSession.sparkContext.broadcast((ids, x.astype(np.float64), coder.codes(x)))
-    d = x.shape[1]
+def nearest_in(block: Block, own: int, query: np.ndarray, code: np.ndarray, radius: int | None, balls: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the block's k nearest to a query, distinct ids."""
+    rows = np.arange(len(block.ids)) if radius is None else block.within(code, radius, balls)
+    rows = rows[block.ids[rows] != own]
+    return first_k(np.sqrt(((block.vectors[rows] - query) ** 2).sum(1)), block.ids[rows], k)
+
+
+def first_k(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((ids, score))
+    _, first = np.unique(ids[by], return_index=True)
+    by = by[np.sort(first)][:k]
+    return score[by], ids[by]
+
+
+def search(index: DataFrame, queries: DataFrame, d: int, kind: str, k: int, radius: int | None, parts: int) -> DataFrame:
+    """query_id, vec_id, score: of each part of the index, the k nearest to each query; radius None: of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, codes = sent.value
-        balls = hamming_balls()
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        balls, blocks = hamming_balls(), []
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row, d)
-                for i, q in enumerate(ids.tolist()):
-                    rows = np.arange(len(block.ids)) if radius is None else block.within(codes[i], radius, balls)
-                    rows = rows[block.ids[rows] != q]
-                    if not len(rows):
-                        continue
-                    score = np.sqrt(((block.vectors[rows] - queries[i]) ** 2).sum(1))
-                    near = block.ids[rows]
-                    if i in best:
-                        score, near = np.concatenate([score, best[i][0]]), np.concatenate([near, best[i][1]])
-                    by = np.lexsort((near, score))
-                    _, first = np.unique(near[by], return_index=True)
-                    by = by[np.sort(first)][:k]
-                    best[i] = score[by], near[by]
-        for i, (score, near) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[i])), pa.array(near), pa.array(score)], schema=NEAR)
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in INDEX_NAMES}
+                if row["orders"] is not None:  # the index's blocks come first
+                    blocks.append(Block(row, d, kind))
+                    continue
+                ids = np.frombuffer(row["ids"], "<i8")
+                x = np.frombuffer(row["vectors"], kind).reshape(-1, d).astype(np.float64)
+                codes = np.frombuffer(row["codes"], "<u8").reshape(len(ids), -1)
+                found = []
+                for j, q in enumerate(ids.tolist()):
+                    got = [nearest_in(b, q, x[j], codes[j], radius, balls, k) for b in blocks]
+                    found.append(first_k(*(np.concatenate(c) for c in zip(*got, strict=True)), k) if got else (np.zeros(0), np.zeros(0, np.int64)))
+                lens = [len(near) for _, near in found]
+                if sum(lens):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, lens)), pa.array(np.concatenate([n for _, n in found])), pa.array(np.concatenate([s for s, _ in found]))], schema=NEAR)
+
+    none = F.lit(None).cast("binary")
+    own = index.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), *INDEX_NAMES)
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), *INDEX_NAMES[:3], none.alias("orders"), none.alias("offsets"))
+    both = own.union(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
+    return both.select(*INDEX_NAMES).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -186,35 +221,19 @@ def top(found: DataFrame, k: int) -> DataFrame:
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, reach: float = 0.98) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean) for the rows whose vec_id is divisible by `every`."""
     spark = embeddings.sparkSession
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = embeddings.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
-    if not sample.num_rows:
-        return none
-    ids, column = (sample.column(c).combine_chunks() for c in ("vec_id", "embedding"))
-    lens = column.value_lengths().to_numpy()
-    d = int(np.bincount(lens).argmax())
-    _, x = valid(ids, column, d)
-    if not d or not len(x):
-        return none
-    coder = learn(x, k, reach)
+    rows, d = taking_part(embeddings)
+    if not d:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = "<f8" if dict(rows.dtypes)["embedding"] == "array<double>" else "<f4"
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toArrow().combine_chunks()
+    coder = learn(sample.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d), k, reach)
     index = materialize(build_index(rows, coder, d), "index")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    chunks = -(-queries.count() // QUERY_CHUNK)
-    out = None
-    for c in range(chunks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow().combine_chunks()
-        if not own.num_rows:
-            continue
-        ids, x = valid(own.column("vec_id").combine_chunks(), own.column("embedding").combine_chunks(), d)
-        if not len(ids):
-            continue
-        found = materialize(search(index, coder, ids, x, k, coder.radius), "near")
-        full = {r.query_id for r in found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k).select("query_id").collect()}
-        short = ~np.isin(ids, list(full)) if full else np.ones(len(ids), bool)
-        part = found
-        if short.any():
-            part = found.where(~F.col("query_id").isin(ids[short].tolist())).union(search(index, coder, ids[short], x[short], k, None)) if short.sum() <= 1000 else search(index, coder, ids, x, k, None)
-        part = top(part, k)
-        out = part if out is None else out.union(part)
-    return none if out is None else out
+    queries = materialize(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // PART_BLOCKS))
+    found = materialize(search(index, query_blocks(queries, coder, d), d, kind, k, coder.radius, parts), "near")
+    full = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k).select("vec_id")
+    short = materialize(queries.join(full, "vec_id", "left_anti"), "short")
+    if not short.isEmpty():
+        exact = search(index, query_blocks(short, coder, d), d, kind, k, None, parts)
+        found = found.union(exact)  # what the first search found of them is among the rest
+    return top(found, k)

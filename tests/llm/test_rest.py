@@ -114,6 +114,25 @@ def test_odd_vectors_take_no_part(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_doubles_repeated_ids_and_names_that_clash(spark):
+    """Of a query's rows the least vector asks; a candidate's nearest row counts; doubles aren't rounded."""
+    tiny = 1.0 + 2.0**-40
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [tiny, 0.0]), (2, [0.0, tiny]), (2, [5.0, 5.0]), (3, [4.0, 4.0])]
+    df = spark.createDataFrame([(i, v, 0, "x", b"y") for i, v in rows], "vec_id long, embedding array<double>, part int, kind string, ids binary")
+    got = [(r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df, 10, 100).orderBy("rank").collect()]
+    assert got == [(1, 2, 2.0**-40), (2, 1, np.sqrt(tiny**2 + 1)), (3, 3, 5.0)]
+
+
+def test_small_blocks_and_parts_give_the_same(spark, monkeypatch):
+    x = vectors(900, 16, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    rows = lambda: [tuple(r) for r in neighbours.nearest(df, 5, 20).orderBy("query_id", "rank").collect()]
+    want = rows()
+    for name, value in {"INDEX_BLOCK": 64, "QUERY_BLOCK": 3, "PART_BLOCKS": 1}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    assert rows() == want and len(want) == 45 * 5
+
+
 def test_blocks_retrieve_every_code_within_the_radius():
     x = vectors(2000)
     coder = neighbours.learn(x, 10)
@@ -121,7 +140,7 @@ def test_blocks_retrieve_every_code_within_the_radius():
     values = codes.view("<u2")
     orders = np.argsort(values, axis=0, kind="stable").T.astype("<u2")
     row = {"ids": np.arange(2000, dtype="<i8").tobytes(), "vectors": x.tobytes(), "codes": codes.tobytes(), "orders": orders.tobytes(), "offsets": np.take_along_axis(values.T, orders.astype(np.int64), 1).tobytes()}
-    block, balls = neighbours.Block(row, 32), neighbours.hamming_balls()
+    block, balls = neighbours.Block(row, 32, "<f4"), neighbours.hamming_balls()
     for radius in (0, 15, 16, 40, 70, 110):
         for q in (0, 7, 500):
             want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(1) <= radius)
