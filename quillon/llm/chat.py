@@ -4,7 +4,9 @@ Each turn becomes three segments (head, body, end); the body of a role in `loss`
 Bodies are escaped, so no control string of the template stands in one, and reading back is exact.
 Turns are ordered by turn (nulls first), then role and text, so ties have a defined order. Null roles and
 texts are empty. Turns that the machine refuses are formatted all the same; the conversation is then marked
-not valid. Conversations are streamed from sorted partitions: memory is bounded by one turn.
+not valid. Conversations are streamed from sorted partitions: memory is a few times the longest turn's text.
+Repeated rows are turns each. Rows without conv_id are one conversation, of no id. An empty table gives no rows.
+Only conv_id, turn, role and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, partitions_for
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
 
     refused marks the head of a turn that the machine refuses, and the end of a last turn in no final state.
     """
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
@@ -101,7 +103,7 @@ READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha2
 
 def read_conversations(segments: DataFrame, template: Template = Template()) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid: parsed from the formatted text."""
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, none = template.turn(), object()

@@ -5,8 +5,13 @@ matched with at most k = floor(rate x L) edits, by any substring of a document.
 of which one must occur unchanged; an automaton over all pieces finds the hits in one pass over a document,
 windows around them are held against the q-gram lemma (which loses no match), and the rest are verified.
 
-Null or empty items match nothing; null texts are empty; repeated rows are reported each; of several places
-the one of least distance, then the first, is reported. Only doc_id, text, item_id are read.
+Null or empty items match nothing; null texts are empty; repeated rows, of documents and items, are reported
+each; of several places the one of least distance, then the first, is reported. Empty tables, of either, give
+no rows. Only doc_id, text, item_id are read, whatever other columns are called. A text of any length is
+searched whole, in some ten bytes of memory a character.
+
+The benchmark is dealt into blocks of about BROADCAST_BYTES by a hash; one block at a time comes to the driver
+and is broadcast, for one pass over the documents. All benchmarks known fit one block.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import slices
+from quillon.llm.common import materialize, slices
 
 #: Items are sent to the executors in blocks of at most so many bytes; more blocks mean more passes.
 BROADCAST_BYTES = 16 << 20
@@ -132,16 +137,12 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
     """doc_id, item_id, distance, start, end (characters of the normalised text): items found in documents."""
     spark = docs.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        size += len(r["text"] or "")
-        if size > BROADCAST_BYTES and blocks[-1]:
-            blocks.append([])
-            size = len(r["text"] or "")
-        blocks[-1].append((r["item_id"], r["text"]))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    n_blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BROADCAST_BYTES)
     out = None
-    for rows in blocks:
+    for b in range(max(1, n_blocks)):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))) == b)
+        rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]  # some BROADCAST_BYTES
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -155,6 +156,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=FOUND)
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        if n_blocks > 1:  # the next block replaces this one
+            part = materialize(part, "found")
+            sent.destroy()
         out = part if out is None else out.union(part)
     return out
 

@@ -89,7 +89,7 @@ class Unit:
 
 
 class Bytes(Unit):
-    passes, step = 2, 8
+    passes, step, share = 2, 8, 5 << 20  # what is sent is some three times the text
 
     def digit(self, symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The next `step` symbols from each place as one number, those beyond `size` as 0."""
@@ -111,7 +111,7 @@ class Bytes(Unit):
 
 
 class Words(Unit):
-    step = 1
+    step, share = 1, 16 << 20
 
     def digit(self, symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.where(size > 0, symbols[at], U(0))
@@ -538,7 +538,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, within: bool) -> DataFrame:
     Earlier is in a document of smaller doc_id or, if within, also in the same document further left.
     Documents without doc_id have no order: nothing is removed from them and they remove nothing.
     """
-    n = partitions_for(docs)
+    n = partitions_for(docs, unit.share)
     docs = keyed(docs)
     found = materialize(survey(docs, unit, within, n), "survey", large=True)
     spans = found.where("hi >= 0")
