@@ -38,3 +38,10 @@ class ValidationError(EngineError):
 
 class RecoveryError(EngineError):
     kind, status = "recovery", 500
+
+
+class WriterLost(EngineError):
+    kind, status = "writer_lost", 503
+
+    def __init__(self, root: str):
+        super().__init__(f"another writer has opened the catalog {root!r}, or this one only reads")

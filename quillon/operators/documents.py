@@ -26,7 +26,14 @@ def _strict(text: str):
             raise ValueError("a number is out of range")
         return value
 
-    return json.loads(text, parse_constant=constant, parse_float=number)
+    def integer(text: str) -> int:
+        number(text)
+        return int(text)
+
+    j = json.loads(text, parse_constant=constant, parse_float=number, parse_int=integer)
+    if "\\u" in text:
+        json.dumps(j, ensure_ascii=False).encode()  # a lone surrogate is no character: UnicodeEncodeError
+    return j
 
 
 def _fits(kind: str, value) -> bool:

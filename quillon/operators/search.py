@@ -1,7 +1,8 @@
 """Search over one committed view: exact totals, BM25 top-k with offset, point lookups.
 
 The scan path evaluates the bound query as one filter and one projection over the stored token arrays.
-The postings path reads only the buckets of the query's terms. Both give the same matches and scores.
+The postings path reads only the query's terms: postings lie by term, in as many files as their size asks for
+(a stop word takes several). Both give the same matches and scores.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from quillon.plans.parser import parse
 from quillon.plans.tree import Bool, Boost, Node, Term
 
 LIMIT, OFFSET = 10, 0
-#: Hits up to this many are broadcast to fetch their sources; a page is bounded by its limit.
-PAGE = 10_000
+#: The ids of pages up to this limit are sent to the scan for their sources; larger pages are joined.
+PAGE = 1000
 
 
 @dataclass
@@ -55,9 +56,12 @@ def total(docs: DataFrame, mapping: Mapping, query: str) -> DataFrame:
 
 
 def with_source(docs: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
-    """Sources of a page of hits only: the ranking never read them."""
-    page = F.broadcast(hits) if limit <= PAGE else hits
-    return page.join(docs.select(ID, SOURCE), ID).select(ID, "score", SOURCE).orderBy(F.desc("score"), F.asc(ID))
+    """Sources of a page of hits only: the ranking never read them, and the page's ids reach the scan as a filter."""
+    if limit <= PAGE:
+        page = hits.collect()  # at most `limit` rows
+        hits = F.broadcast(docs.sparkSession.createDataFrame(page, f"{ID} string, score double"))
+        docs = docs.where(F.col(ID).isin([r[ID] for r in page]))
+    return hits.join(docs.select(ID, SOURCE), ID).select(ID, "score", SOURCE).orderBy(F.desc("score"), F.asc(ID))
 
 
 def search(docs: DataFrame, mapping: Mapping, query: str = "", limit: int = LIMIT, offset: int = OFFSET) -> Result:
@@ -87,15 +91,11 @@ def existing(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 # The postings path
 
-BUCKETS = 64
+POSTINGS = f"field string, term string, {ID} string, tf long, length int"
 
 
-def bucket(term, buckets: int = BUCKETS):
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def postings(docs: DataFrame, mapping: Mapping, buckets: int = BUCKETS) -> DataFrame:
-    """field, term, _id, tf, length, bucket of every token and keyword."""
+def postings(docs: DataFrame, mapping: Mapping) -> DataFrame:
+    """field, term, _id, tf, length of every token and keyword."""
     out = None
     for f in mapping.default_fields():
         if mapping.fields[f].type == "text":
@@ -103,17 +103,27 @@ def postings(docs: DataFrame, mapping: Mapping, buckets: int = BUCKETS) -> DataF
             part = docs.select(ID, F.size(t).alias("length"), F.explode(t).alias("term")).groupBy(ID, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
         else:
             part = docs.where(F.col(f"`{f}`").isNotNull()).select(ID, F.col(f"`{f}`").alias("term"), F.lit(1).alias("length"), F.lit(1).cast("long").alias("tf"))
-        part = part.select(F.lit(f).alias("field"), "term", ID, F.col("tf").cast("long").alias("tf"), F.col("length").cast("int").alias("length"), bucket("term", buckets).alias("bucket"))
+        part = part.select(F.lit(f).alias("field"), "term", ID, F.col("tf").cast("long").alias("tf"), F.col("length").cast("int").alias("length"))
         out = part if out is None else out.union(part)
     if out is None:
         raise ValidationError("the mapping has no indexed text or keyword")
     return out
 
 
-def write_postings(docs: DataFrame, mapping: Mapping, path: str, buckets: int = BUCKETS) -> None:
-    """A folder for each bucket of terms: a query's scan is pruned to its terms' folders and row groups."""
-    rows = postings(docs, mapping, buckets)
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(path)
+def write_postings(docs: DataFrame, mapping: Mapping, path: str) -> None:
+    """Ordered by field, term and id over all files: statistics of files and row groups leave a query its terms' rows."""
+    rows = postings(docs, mapping)
+    rows.repartitionByRange("field", "term", ID).sortWithinPartitions("field", "term", ID).write.option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+
+
+def field_totals(docs: DataFrame, mapping: Mapping) -> dict[str, list[int]]:
+    """For each default field, the documents that have it and its tokens (1 for a keyword); one aggregation."""
+    sums = []
+    for i, f in enumerate(mapping.default_fields()):
+        c = F.col(f"`{tokens_of(f) if mapping.fields[f].type == 'text' else f}`")
+        sums += [F.count(c).alias(f"n{i}"), F.sum(F.size(c).cast("long") if mapping.fields[f].type == "text" else F.lit(1)).alias(f"t{i}")]
+    row = docs.agg(*sums).first() if sums else None
+    return {f: [row[f"n{i}"], int(row[f"t{i}"] or 0) if mapping.fields[f].type == "text" else row[f"n{i}"]] for i, f in enumerate(mapping.default_fields())}
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -131,12 +141,20 @@ def field_stats(docs: DataFrame, mapping: Mapping) -> DataFrame:
     return out
 
 
-def postings_scored(index: DataFrame, docs: DataFrame, mapping: Mapping, query: str, buckets: int = BUCKETS) -> DataFrame:
-    """_id, score for queries of terms and boolean operators, from postings; as scored() gives them."""
+def has_postings(mapping: Mapping, query: str) -> bool:
+    """Whether the query has only terms of a single token or keyword and boolean operators."""
+    try:
+        leaves, _ = _term_tree(mapping, parse(query))
+    except ValidationError:
+        return False
+    return bool(leaves)
+
+
+def _term_tree(mapping: Mapping, root: Node):
+    """(field, term, boost) of each leaf, and a function that gives the row's (match, score) from columns s0, s1, ..."""
     leaves: list[tuple[str, str, float]] = []
 
     def collect(node: Node, boost: float = 1.0):
-        """A function of the row's flags to (match, score) columns."""
         if isinstance(node, Boost):
             return collect(node.node, boost * node.factor)
         if isinstance(node, Term):
@@ -179,17 +197,33 @@ def postings_scored(index: DataFrame, docs: DataFrame, mapping: Mapping, query:
             return branch
         raise ValidationError("only terms and boolean operators have postings")
 
-    build = collect(parse(query))
+    return leaves, collect(root)
+
+
+def postings_scored(index: DataFrame, docs: DataFrame, mapping: Mapping, query: str, totals: dict[str, list[int]] | None = None) -> DataFrame:
+    """_id, score for queries of terms and boolean operators, from postings; as scored() gives them. totals: field_totals() of docs."""
+    leaves, build = _term_tree(mapping, parse(query))
+    totals = field_totals(docs, mapping) if totals is None else totals
     wanted = sorted({(f, w) for f, w, _ in leaves})
-    stats = statistics(docs, mapping, tuple(wanted))
-    numbers = [r[0] for r in docs.sparkSession.createDataFrame([(w,) for _, w in wanted], "term string").select(bucket("term", buckets)).distinct().collect()]
-    rows = index.where(F.col("bucket").isin(numbers) & F.col("term").isin([w for _, w in wanted]))
+    rows = index.where(F.col("field").isin(sorted({f for f, _ in wanted})) & F.col("term").isin(sorted({w for _, w in wanted})))
+    df = {(r["field"], r["term"]): r["df"] for r in rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row a term of the query
     sums = []
     for i, (f, w, boost) in enumerate(leaves):
-        weight = scoring.idf(stats.n[f], stats.df[(f, w)])
+        n, tokens = totals[f]
+        weight = scoring.idf(n, df.get((f, w), 0))
         text = mapping.fields[f].type == "text"
-        one = scoring.bm25(F.col("tf"), F.col("length"), stats.average[f], weight) if text else F.lit(weight)
+        one = scoring.bm25(F.col("tf"), F.col("length"), tokens / n if n else 0.0, weight) if text else F.lit(weight)
         sums.append(F.sum(F.when((F.col("field") == f) & (F.col("term") == w), one * F.lit(boost)).otherwise(F.lit(0.0))).alias(f"s{i}"))
     match, score = build()
     flags = rows.groupBy(ID).agg(*sums)
     return flags.where(match).select(ID, score.alias("score"))
+
+
+def search_postings(index: DataFrame, docs: DataFrame, mapping: Mapping, query: str, limit: int = LIMIT, offset: int = OFFSET, totals: dict[str, list[int]] | None = None) -> Result:
+    """search(), by postings."""
+    scores = postings_scored(index, docs, mapping, query, totals)
+    count = scores.count()
+    if limit == 0 or not count:
+        ranked(scores, limit, offset)  # refuses what search() refuses
+        return Result(docs.select(ID, F.lit(0.0).alias("score"), SOURCE).limit(0), count)
+    return Result(with_source(docs, ranked(scores, limit, offset), limit), count)

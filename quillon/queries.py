@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from quillon.mapping import ID, SEQ, SOURCE, Field, Mapping, tokens_of, valid_na
 from quillon.operators import commands as C
 from quillon.operators import search as S
 from quillon.operators.documents import collection_of, extract, with_reason
+from quillon.sources.files import work_folder
 
 DOCS = Mapping({"text": Field("text", True), "lang": Field("keyword", True), "source": Field("keyword", True), "n_chars": Field("i64", True, True)})
 EVENTS = Mapping({"event_type": Field("keyword", True), "ts": Field("date", True), "value": Field("f64", True, True), "user_id": Field("i64", True)})
@@ -359,27 +359,333 @@ def stream_apply(spark, sf):
     """The same state, folded from a stream of the events file in micro-batches."""
     from quillon.streaming.ingest import StreamedTable, ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-stream-')}"
-    target = StreamedTable(spark, f"{root.rstrip('/')}/stream-{C.new_id()}")
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
-    ingest(as_commands(stream), target).awaitTermination()
-    return target.read().select(ID, SEQ, SOURCE)
+    target = StreamedTable(spark, work_folder(spark, "stream"))
+    ingest(as_commands(event_stream(spark, sf)), target).awaitTermination()
+    return target.read("users").select(ID, SEQ, SOURCE)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
+@register("stream_apply_multi", f"""WITH {CMD}, m AS (SELECT max(seq) // 2 AS h FROM c), k AS (SELECT c.*, 'g' || CAST(CAST(id AS BIGINT) % 3 AS VARCHAR) AS g FROM c),
+  l AS (SELECT k.*, row_number() OVER (PARTITION BY g, id ORDER BY seq DESC) AS rn FROM k, m WHERE g = 'g0' OR g = 'g1' AND seq > h)
+  SELECT g AS collection, id AS _id, seq AS _seq, source AS _source FROM l WHERE rn = 1 AND op = 'index'""")
+def stream_apply_multi(spark, sf):
+    """A stream of three collections: the first stands, the second is dropped half-way and made again, the third is dropped at the end."""
+    from quillon.streaming.ingest import StreamedTable, ingest
+
+    bounds = table(spark, sf, "events").agg(F.max("event_id").alias("m")).first()
+    half, end = bounds["m"] // 2, bounds["m"]
+    stream = as_commands(event_stream(spark, sf)).withColumn("collection", F.concat(F.lit("g"), (F.col("id").cast("long") % 3).cast("string")))
+    target = StreamedTable(spark, work_folder(spark, "streams"))
+    # events at ten times their number, and the commands that make and drop collections between them
+    none = F.lit(None).cast("string")
+    at = lambda seq, op, name: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(name).alias("collection"), none.alias("id"), none.alias("source"), F.lit(f"u{seq}").alias("uuid"), F.lit("{}").alias("mapping"))
+    first = [at(k + 1, "create", f"g{k}") for k in range(3)]
+    middle = [at(10 * half + 1, "drop", "g1"), at(10 * half + 2, "create", "g1")]
+    last = [at(10 * end + 1, "drop", "g2")]
+    own = F.struct((F.col("seq") * 10).alias("seq"), "op", "collection", "id", "source", "uuid", "mapping")
+    more = F.when(F.col("seq") == end, F.array(*last)).when(F.col("seq") == half, F.array(*middle)).when(F.col("seq") == 1, F.array(*first)).otherwise(F.array().cast("array<struct<seq:bigint,op:string,collection:string,id:string,source:string,uuid:string,mapping:string>>"))
+    rows = stream.select(F.explode(F.concat(F.array(own), more)).alias("c")).select("c.*")
+    ingest(rows, target).awaitTermination()
+    return target.read().select("collection", ID, (F.col(SEQ) / 10).cast("long").alias(SEQ), SOURCE)
 
 
 @register("catalog_search", where(f"{has('the')} AND lang = 'en'"))
 def catalog_search(spark, sf):
     """Through the whole store: create, bulk write, checkpoint, search the committed version."""
+    return S.matches(stored(spark, sf).committed("docs"), DOCS, "text:the AND lang:en").select(ID)
+
+
+# the store itself: a catalog in a folder of its own for each query
+
+JSON = 'to_json(struct(text, lang, source, n_chars)) AS source'
+
+
+def new_catalog(spark: SparkSession):
+    from quillon.sources.catalog import Catalog
+
+    return Catalog(spark, work_folder(spark, "catalog"))
+
+
+def load(catalog, rows: DataFrame, name: str = "docs", doc_id=None) -> None:
+    """Write rows of documents, in the order of doc_id, as one batch."""
+    own = rows.select(F.col("doc_id").alias("order"), (F.col("doc_id").cast("string") if doc_id is None else doc_id).alias("id"), F.expr(JSON))
+    catalog.upsert_batch(name, own)
+
+
+def stored(spark: SparkSession, sf_dir: str):
+    """A catalog with one committed collection of the documents."""
+    catalog = new_catalog(spark)
+    catalog.create("docs", DOCS)
+    load(catalog, table(spark, sf_dir, "documents"))
+    catalog.checkpoint()
+    return catalog
+
+
+@register("catalog_recovery", where(f"{has('the')} AND lang = 'en'"))
+def catalog_recovery(spark, sf):
+    """Logged but never committed; a second catalog on the folder recovers it from the log."""
     from quillon.sources.catalog import Catalog
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-catalog-')}"
-    catalog = Catalog(spark, f"{root.rstrip('/')}/catalog-{C.new_id()}")
+    catalog = new_catalog(spark)
     catalog.create("docs", DOCS)
-    d = table(spark, sf, "documents")
-    rows = d.select(F.col("doc_id").alias("order"), F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct("text", "lang", "source", "n_chars")).alias("source"))
-    catalog.upsert_batch("docs", rows)
+    load(catalog, table(spark, sf, "documents"))
+    return S.matches(Catalog(spark, catalog.root).committed("docs"), DOCS, "text:the AND lang:en").select(ID)
+
+
+#: Every third document is replaced by one of another source, every fifth deleted after that.
+CHANGED = """x AS (SELECT CAST(doc_id AS VARCHAR) AS _id, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE source END AS source, text, lang,
+  list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: strlen(t) < 40) AS toks FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+def changed(spark: SparkSession, sf_dir: str):
+    catalog, d = stored(spark, sf_dir), table(spark, sf_dir, "documents")
+    load(catalog, d.where("doc_id % 3 = 0").withColumn("source", F.lit("changed")))
+    catalog.checkpoint()
+    ids = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("order"), F.col("doc_id").cast("string").alias("id"))
+    catalog.delete_batch("docs", ids)
+    catalog.checkpoint()
+    return catalog
+
+
+@register("catalog_deltas", f"WITH {CHANGED} SELECT _id, source FROM x")
+def catalog_deltas(spark, sf):
+    """Two further commits, each a segment of what is new and the ids that it takes over."""
+    return changed(spark, sf).committed("docs").select(ID, "source")
+
+
+@register("catalog_postings", f"WITH {CHANGED}, st AS (SELECT count(*) AS n, avg(len(toks)) AS a, count(*) FILTER (WHERE {has('the')}) AS f FROM x), r AS (SELECT _id, ln(1 + (n - f + 0.5) / (f + 0.5)) * 2.2 * len(list_filter(toks, lambda t: t = 'the')) / (len(list_filter(toks, lambda t: t = 'the')) + 1.2 * (0.25 + 0.75 * len(toks) / a)) AS raw FROM x, st WHERE {has('the')}) SELECT _id, round(raw, 6) AS score FROM r ORDER BY raw DESC, _id LIMIT 10")
+def catalog_postings(spark, sf):
+    """A search by the postings that each segment stores, over documents of which some are replaced or deleted."""
+    found = changed(spark, sf).search("docs", "text:the")
+    return rounded(found.hits)
+
+
+@register("catalog_existed", "SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 2 = 0 AS existed FROM documents")
+def catalog_existed(spark, sf):
+    """Deletions of all ids, of which every second is in the committed view."""
+    catalog, d = new_catalog(spark), table(spark, sf, "documents")
+    catalog.create("docs", DOCS)
+    load(catalog, d.where("doc_id % 2 = 0"))
+    catalog.checkpoint()
+    return catalog.delete_batch("docs", d.select(F.col("doc_id").alias("order"), F.col("doc_id").cast("string").alias("id")))
+
+
+@register("catalog_minted_ids", "SELECT count(*) AS documents, count(*) AS ids, true AS are_uuids FROM documents")
+def catalog_minted_ids(spark, sf):
+    """Documents written without ids: each gets one of its own, once."""
+    catalog = new_catalog(spark)
+    catalog.create("docs", DOCS)
+    load(catalog, table(spark, sf, "documents"), doc_id=F.lit(None).cast("string"))
+    catalog.checkpoint()
+    shape = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+    return catalog.committed("docs").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct(ID).alias("ids"), F.every(F.col(ID).rlike(shape)).alias("are_uuids"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> list[str]:
+    return sorted(r[0] for r in table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().collect())
+
+
+@register("catalog_list", "SELECT DISTINCT lang AS name, CAST(0 AS BIGINT) AS version FROM documents WHERE lang IS NOT NULL")
+def catalog_list(spark, sf):
+    """A collection for each language, listed by the catalog."""
+    catalog = new_catalog(spark)
+    for name in languages(spark, sf):
+        catalog.create(name, DOCS)
+    return catalog.as_frame().select("name", "version")
+
+
+@register("catalog_drop", "SELECT DISTINCT lang AS name FROM documents WHERE lang IS NOT NULL AND lang <> (SELECT min(lang) FROM documents)")
+def catalog_drop(spark, sf):
+    """The first language's collection is dropped; a second catalog on the folder agrees."""
+    from quillon.sources.catalog import Catalog
+
+    catalog, names = new_catalog(spark), languages(spark, sf)
+    for name in names:
+        catalog.create(name, DOCS)
+    catalog.drop(names[0])
+    return Catalog(spark, catalog.root).as_frame().select("name")
+
+
+@register("catalog_sweep", "SELECT DISTINCT lang, true AS moved FROM documents WHERE lang IS NOT NULL")
+def catalog_sweep(spark, sf):
+    """A folder for each language that no collection owns: the sweep at the next opening puts them into quarantine."""
+    import uuid
+
+    from quillon.sources.catalog import Catalog
+
+    catalog = new_catalog(spark)
+    folders = {name: str(uuid.uuid5(uuid.NAMESPACE_DNS, name)) for name in languages(spark, sf)}
+    for folder in folders.values():
+        catalog.files.mkdirs(f"{catalog.root}/{folder}/segment-1")
+    moved = {n.rpartition(".")[0] for n in Catalog(spark, catalog.root).quarantined}
+    inside = {n.rpartition(".")[0] for n in catalog.files.names(f"{catalog.root}/_quarantine")}
+    rows = [(name, folder in moved and folder in inside and folder not in catalog.files.names(catalog.root)) for name, folder in folders.items()]
+    return spark.createDataFrame(rows, "lang string, moved boolean")
+
+
+@register("catalog_snapshot", f"WITH {CHANGED} SELECT _id, source FROM x")
+def catalog_snapshot(spark, sf):
+    """A snapshot installed over another catalog's state."""
+    source, target = changed(spark, sf), new_catalog(spark)
+    target.create("other", DOCS)
+    target.install(f"{source.root}/_snapshots/{source.snapshot()}")
+    return target.committed("docs").select(ID, "source")
+
+
+@register("catalog_snapshot_cadence", "SELECT count(*) >= 100 AS due, false AS again FROM documents")
+def catalog_snapshot_cadence(spark, sf):
+    """One snapshot once enough commands are logged, and none right after it."""
+    catalog = stored(spark, sf)
+    rows = [(catalog.snapshot_if_due(100) is not None, catalog.snapshot_if_due(100) is not None)]
+    return spark.createDataFrame(rows, "due boolean, again boolean")
+
+
+@register("catalog_committed_view", "SELECT CAST(doc_id AS VARCHAR) AS _id, source FROM documents")
+def catalog_committed_view(spark, sf):
+    """A view taken before a commit reads what it read before it."""
+    catalog = stored(spark, sf)
+    view = catalog.committed("docs").select(ID, "source")
+    load(catalog, table(spark, sf, "documents").withColumn("source", F.lit("changed")))
+    catalog.checkpoint()
+    return view
+
+
+@register("catalog_fresh_get", "SELECT 'old' AS committed, 'new' AS fresh")
+def catalog_fresh_get(spark, sf):
+    catalog = new_catalog(spark)
+    catalog.create("docs", DOCS)
+    catalog.upsert("docs", '{"source": "old"}', "a")
+    catalog.checkpoint()
+    catalog.upsert("docs", '{"source": "new"}', "a")
+    rows = [(catalog.get("docs", "a"), catalog.get("docs", "a", fresh=True))]
+    return spark.createDataFrame(rows, "committed string, fresh string").select(*(F.get_json_object(c, "$.source").alias(c) for c in ("committed", "fresh")))
+
+
+@register("catalog_default_page", f"WITH {D} SELECT _id, CAST(count(*) OVER () AS BIGINT) AS total FROM d WHERE n_chars >= 0 ORDER BY _id LIMIT 10")
+def catalog_default_page(spark, sf):
+    """Without limit and offset: the first ten, equal scores by id."""
+    found = stored(spark, sf).search("docs", "n_chars:>=0")
+    return found.hits.select(ID, F.lit(found.total).cast("long").alias("total"))
+
+
+@register("catalog_min_mark", "SELECT CAST(count(*) AS BIGINT) + 2 AS min_committed, CAST(count(*) AS BIGINT) + 2 AS applied FROM documents")
+def catalog_min_mark(spark, sf):
+    """Two collections, one of them empty: a checkpoint marks both at the log's end."""
+    catalog = new_catalog(spark)
+    catalog.create("docs", DOCS)
+    catalog.create("none", DOCS)
+    load(catalog, table(spark, sf, "documents"))
     catalog.checkpoint()
-    return S.matches(catalog.committed("docs"), DOCS, "text:the AND lang:en").select(ID)
+    return spark.createDataFrame([(catalog.min_committed(), catalog.applied_seq)], "min_committed long, applied long")
+
+
+@register("log_files", f"WITH {CMD} SELECT 'range' AS part, seq, op, id FROM c WHERE seq >= 100 AND seq < 300 UNION ALL SELECT 'purged', seq, op, id FROM c WHERE seq > 500 AND seq < 800 UNION ALL SELECT 'merged', seq, op, id FROM c WHERE seq > 500 AND seq < 800")
+def log_files(spark, sf):
+    """The log's own files: a range, then without the segments up to 500, cut before 800, and made one segment."""
+    from quillon.sources.log import CommandLog
+
+    log, commands = CommandLog(spark, work_folder(spark, "log")), command_stream(spark, sf)
+    r = commands.agg(F.min("seq"), F.max("seq")).first()
+    ends = [e for e in (250, 500, 750) if r[0] <= e < r[1]] + [r[1]]
+    for first, last in zip([r[0], *(e + 1 for e in ends)], ends, strict=False):
+        log.append(commands.where(F.col("seq").between(first, last)), first, last)
+    out = _kept(log.read(100, 300), "range")
+    log.purge(500)
+    log.truncate(800)
+    out = out.union(_kept(log.read(501), "purged"))
+    log.merge()
+    return out.union(_kept(log.read(501), "merged"))
+
+
+def _kept(rows: DataFrame, part: str) -> DataFrame:
+    """rows written aside, as the files that they come from go."""
+    spark, path = rows.sparkSession, work_folder(rows.sparkSession, "part")
+    rows.select(F.lit(part).alias("part"), "seq", "op", "id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# answers and refusals: what each call gives, against what it must give
+
+def answers(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "call string, answer string")
+
+
+def values(rows: dict[str, str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in rows.items()) + ") t(call, answer)"
+
+
+VERBS = {"health": "200", "create": "201", "create again": "200", "create another mapping": "409 schema_conflict", "create bad name": "400 validation", "create bad mapping": "400 mapping", "list": "200 docs", "describe": "200", "describe none": "404 collection_not_found", "post": "201 created", "put new": "201 created", "put bad": "400 validation", "put committed": "200 updated", "get": "200", "get none": "404 document_not_found", "search": "200 total 2", "search bad": "400 validation", "search none": "404 collection_not_found", "delete": "204", "drop": "204", "drop again": "404 collection_not_found"}
+
+
+@register("engine_answers", values(VERBS))
+def engine_answers(spark, sf):
+    """The verbs, their answers' shapes and codes, and the kinds of errors."""
+    from quillon.engine import Engine
+
+    e, mapping = Engine(new_catalog(spark)), DOCS.to_json()
+    out = []
+
+    def call(name: str, answer, shown=None) -> None:
+        body = answer.body or {}
+        text = body["error"]["kind"] if "error" in body else shown(body) if shown else ""
+        out.append((name, f"{answer.status} {text}".strip()))
+
+    call("health", e.health())
+    call("create", e.create_collection("docs", mapping))
+    call("create again", e.create_collection("docs", mapping))
+    call("create another mapping", e.create_collection("docs", "{}"))
+    call("create bad name", e.create_collection("Docs", mapping))
+    call("create bad mapping", e.create_collection("x", '{"fields": {"a": {"type": "blob"}}}'))
+    call("list", e.list_collections(), lambda b: " ".join(b["collections"]))
+    call("describe", e.describe_collection("docs"))
+    call("describe none", e.describe_collection("none"))
+    call("post", e.post_document("docs", '{"text": "some words"}'), lambda b: b["result"])
+    call("put new", e.put_document("docs", "a", '{"text": "other words"}'), lambda b: b["result"])
+    call("put bad", e.put_document("docs", "a", '{"nope": 1}'))
+    e.catalog.checkpoint()
+    call("put committed", e.put_document("docs", "a", '{"text": "more words"}'), lambda b: b["result"])
+    call("get", e.get_document("docs", "a"))
+    call("get none", e.get_document("docs", "b"))
+    call("search", e.search_documents("docs", "words"), lambda b: f"total {b['total']}")
+    call("search bad", e.search_documents("docs", '"open'))
+    call("search none", e.search_documents("none", "x"))
+    call("delete", e.delete_document("docs", "a"))
+    call("drop", e.drop_collection("docs"))
+    call("drop again", e.drop_collection("docs"))
+    return answers(spark, out)
+
+
+REFUSED = {"reserved name": "mapping", "fast text": "mapping", "unknown type": "mapping", "name twice": "mapping", "empty name": "mapping", "not json": "mapping", "unknown field": "validation", "unindexed field": "validation", "bad number": "validation", "bad date": "validation", "open quote": "validation", "negative clauses only": "validation", "negative limit": "validation"}
+
+
+@register("refusals", values(REFUSED))
+def refusals(spark, sf):
+    """Mappings and queries that must be refused, and the kind of error."""
+    from quillon.errors import EngineError
+
+    spec = lambda name, **kw: '{"fields": {"%s": {"type": "%s", "fast": %s}}}' % (name, kw.get("type", "i64"), kw.get("fast", "false"))
+    mapping = Mapping({"n": Field("i64", True), "at": Field("date", True), "note": Field("keyword")})
+    ask = lambda q: S.matches(spark.createDataFrame([], mapping.schema()), mapping, q)
+    tries = {"reserved name": lambda: Mapping.from_json(spec("_id")), "fast text": lambda: Mapping.from_json(spec("a", type="text", fast="true")), "unknown type": lambda: Mapping.from_json(spec("a", type="blob")), "name twice": lambda: Mapping.from_json('{"fields": {"a": {"type": "i64"}, "a": {"type": "i64"}}}'), "empty name": lambda: Mapping.from_json(spec("")), "not json": lambda: Mapping.from_json("{"), "unknown field": lambda: ask("x:1"), "unindexed field": lambda: ask("note:a"), "bad number": lambda: ask("n:one"), "bad date": lambda: ask("at:>2024"), "open quote": lambda: ask('"a'), "negative clauses only": lambda: ask("-n:1"), "negative limit": lambda: S.ranked(spark.createDataFrame([], f"{ID} string, score double"), -1)}
+    out = []
+    for name, attempt in tries.items():
+        try:
+            attempt()
+            out.append((name, "accepted"))
+        except EngineError as e:
+            out.append((name, e.kind))
+    return answers(spark, out)
+
+
+@register("mapping_codec", "SELECT 'DOCS' AS call, true AS same, true AS order_free")
+def mapping_codec(spark, sf):
+    """JSON and back gives an equal mapping, whatever the order of fields."""
+    turned = Mapping(dict(reversed(list(DOCS.fields.items()))))
+    return spark.createDataFrame([("DOCS", Mapping.from_json(DOCS.to_json()) == DOCS, turned == DOCS and turned.to_json() == DOCS.to_json())], "call string, same boolean, order_free boolean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

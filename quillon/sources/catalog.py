@@ -3,14 +3,22 @@
 Layout under a root folder:
 
     _log/segment-*            the command log
-    <uuid>/v<n>/              committed versions of a collection: Parquet with typed columns and tokens
-    _catalog.json             {applied_seq, collections: {name: {uuid, mapping, created_seq, version, committed_seq}}}
+    <uuid>/segment-<n>/       documents of a collection: Parquet by id, with a bloom filter on it, typed columns and tokens
+    <uuid>/gone-<n>/          ids of older segments that segment n replaces or deletes
+    <uuid>/postings-<n>/      the terms of segment n's documents, by bucket of the term
+    _catalog.json             {applied_seq, collections: {name: {uuid, mapping, created_seq, version, committed_seq, segments}}}
+    _lock                     the writer that opened the catalog last
     _snapshots/<id>/          a catalog and the versions it names
     _quarantine/<uuid>.<seq>  folders that no live collection owns
 
-A write is durable once logged, and visible from the next checkpoint on: searches read the committed version.
-The catalog file is replaced last and in one step, together with the data it names, so a crash at any point
-leaves either the old state and the log, or the new one. One driver writes at a time.
+A write is durable once logged, and visible from the next checkpoint on: searches read the committed version,
+which is the segments that the catalog file names, without the ids that later segments replace. A commit writes
+what is new; segments are merged once what came after an older one is as large, so each document is rewritten
+some log(n) times. The catalog file is replaced last and in one step, together with the data it names, so a
+crash at any point leaves either the old state and the log, or the new one.
+
+One driver writes at a time: opening a catalog for writing takes its lock, and a writer whose lock another has
+taken can't write any more (WriterLost). Reading, with read_only, takes none.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.errors import CollectionNotFound, RecoveryError, SchemaConflict, ValidationError
+from quillon.errors import CollectionNotFound, RecoveryError, SchemaConflict, ValidationError, WriterLost
 from quillon.mapping import ID, SEQ, SOURCE, Mapping, check_name
 from quillon.operators import commands as C
 from quillon.operators import search as S
@@ -31,16 +39,30 @@ from quillon.sources.files import Files
 from quillon.sources.log import CommandLog
 
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+#: Logged commands after which write_if_due() makes a snapshot, and snapshots kept.
+SNAPSHOT_EVERY, SNAPSHOTS = 1000, 2
+#: Segments of the log after which they are made one.
+LOG_SEGMENTS = 64
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         """Open, and recover what the log holds beyond the last checkpoint."""
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
-        self.files.mkdirs(self.root)
+        self.spark, self.root, self.files, self.read_only = spark, root.rstrip("/"), Files(spark), read_only
+        self.owner = uuid.uuid4().hex
+        self.quarantined: list[str] = []
+        if not read_only:
+            self.files.mkdirs(self.root)
+            self.files.write(f"{self.root}/_lock", self.owner)
         self.log = CommandLog(spark, self.root)
         self._load()
-        self._recover()
+        if not read_only:
+            self._recover()
+
+    def _own(self) -> None:
+        """Raise WriterLost unless this is the catalog's writer."""
+        if self.read_only or self.files.read(f"{self.root}/_lock") != self.owner:
+            raise WriterLost(self.root)
 
     # the catalog file
 
@@ -60,6 +82,7 @@ class Catalog:
         self.seq = max(self.applied_seq, self.log.last_seq())
 
     def _store(self) -> None:
+        self._own()
         own = {n: dict(c, mapping=json.loads(c["mapping"].to_json())) for n, c in self.collections.items()}
         self.files.write(self.path, json.dumps({"applied_seq": self.applied_seq, "collections": own}, sort_keys=True))
 
@@ -70,7 +93,7 @@ class Catalog:
         ddl = tail.where(F.col("op").isin("create", "drop")).orderBy("seq").collect()
         dropped = {r["collection"] for r in ddl if r["op"] == "drop"}
         for name, c in self.collections.items():
-            if name not in dropped and c["version"] and not self.files.exists(self._version(c)):
+            if name not in dropped and not all(self.files.exists(self._at(c, n)) for n in self._named(c)):
                 raise RecoveryError(f"the data of collection {name!r} are missing")
         replayed = self.log.last_seq() > self.applied_seq
         for r in ddl:
@@ -84,7 +107,7 @@ class Catalog:
 
     def _install(self, name: str, uid: str, mapping: Mapping, seq: int) -> None:
         """An existing collection stands: replay never overwrites it."""
-        self.collections.setdefault(name, {"uuid": uid, "mapping": mapping, "created_seq": seq, "version": 0, "committed_seq": 0})
+        self.collections.setdefault(name, {"uuid": uid, "mapping": mapping, "created_seq": seq, "version": 0, "committed_seq": 0, "segments": []})
 
     def sweep(self) -> list[str]:
         """Move folders of uuid names that no collection owns to _quarantine; their new names."""
@@ -103,6 +126,7 @@ class Catalog:
         return self.collections[name]
 
     def _append(self, rows: DataFrame, n: int = 1) -> None:
+        self._own()
         self.log.append(rows, self.seq + 1, self.seq + n)
         self.seq += n
 
@@ -147,30 +171,43 @@ class Catalog:
         self._append(C.one(self.spark, self.seq + 1, "index", name, id=doc_id, source=source))
         return doc_id, created
 
+    def _in_order(self, rows: DataFrame, stage: str) -> tuple[DataFrame, int]:
+        """rows written to `stage` with order as 0, 1, 2, ...: a count by partition of the order, then its running sum; no single-task sort."""
+        spread = rows.repartitionByRange("order").sortWithinPartitions("order").withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        spread.write.parquet(stage)
+        spread = self.spark.read.parquet(stage)
+        counts = {r["p"]: r["n"] for r in spread.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+        base, at = {}, 0
+        for p in sorted(counts):
+            base[p], at = at, at + counts[p]
+        if not at:
+            return spread.drop("p", "k"), 0
+        start = self.spark.createDataFrame(list(base.items()), "p int, base long")
+        return spread.join(F.broadcast(start), "p").withColumn("order", F.col("base") + F.col("k")).drop("p", "k", "base"), at
+
     def upsert_batch(self, name: str, rows: DataFrame) -> tuple[int, DataFrame]:
-        """Log the valid of rows (order, id, source), order being 0, 1, 2, ...; (their number, the others with reason)."""
+        """Log the valid of rows (order, id, source), in their order; (their number, the others with reason)."""
         mapping = self._get(name)["mapping"]
         stage = f"{self.root}/_log/.stage-{uuid.uuid4().hex}"
         with_reason(rows.withColumn("id", F.coalesce("id", F.uuid())), mapping, "source").write.parquet(stage)  # ids are made once
         checked = self.spark.read.parquet(stage)
-        good = checked.where("reason is null")
-        n = good.count()
+        ordered, n = self._in_order(checked.where("reason is null").select("order", "id", "source"), f"{stage}-dense")
         if n:
-            # contiguous numbers: a count by partition of the order, then its running sum; no single-task sort of rows
-            spread = good.repartitionByRange("order").sortWithinPartitions("order").withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-            dense = f"{stage}-dense"
-            spread.write.parquet(dense)
-            spread = self.spark.read.parquet(dense)
-            counts = {r["p"]: r["n"] for r in spread.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-            base, at = {}, 0
-            for p in sorted(counts):
-                base[p], at = at, at + counts[p]
-            start = self.spark.createDataFrame(list(base.items()), "p int, base long")
-            ordered = spread.join(F.broadcast(start), "p").select((F.col("base") + F.col("k")).alias("order"), "id", "source")
             self._append(C.index_commands(ordered, name, self.seq + 1), n)
-            self.files.delete(dense)
+        self.files.delete(f"{stage}-dense")
         return n, checked.where("reason is not null")
 
+    def delete_batch(self, name: str, ids: DataFrame) -> DataFrame:
+        """Log a deletion for each of ids (order, id), in their order; id, existed in the committed view of now."""
+        self._get(name)
+        stage = f"{self.root}/_log/.stage-{uuid.uuid4().hex}"
+        C.existed_flags(self.committed(name), ids).write.parquet(f"{stage}-existed")
+        ordered, n = self._in_order(ids.select("order", "id"), stage)
+        if n:
+            self._append(C.delete_commands(ordered, name, self.seq + 1), n)
+        self.files.delete(stage)
+        return self.spark.read.parquet(f"{stage}-existed")
+
     def delete(self, name: str, doc_id: str) -> bool:
         """Whether the committed view had it; logged in either case."""
         self._get(name)
@@ -186,32 +223,110 @@ class Catalog:
         return S.get_source(self.committed(name), doc_id)
 
     def search(self, name: str, query: str = "", limit: int = S.LIMIT, offset: int = S.OFFSET) -> S.Result:
-        return S.search(self.committed(name), self._get(name)["mapping"], query, limit, offset)
+        """By the stored postings where the query has only terms and boolean operators, else by a scan; both agree."""
+        docs, mapping = self.committed(name), self._get(name)["mapping"]
+        if S.has_postings(mapping, query):
+            return S.search_postings(self.postings(name), docs, mapping, query, limit, offset, self._totals(self._get(name)))
+        return S.search(docs, mapping, query, limit, offset)
 
     # versions
 
-    def _version(self, c: dict) -> str:
-        return f"{self.root}/{c['uuid']}/v{c['version']}"
+    @staticmethod
+    def _named(c: dict) -> list[str]:
+        """The folders of a collection's state."""
+        return [f"{kind}-{s['n']}" for s in c["segments"] for kind in ("segment", *(["gone"] if s["gone"] else []), *(["postings"] if s["postings"] else []))]
+
+    def _at(self, c: dict, folder: str) -> str:
+        return f"{self.root}/{c['uuid']}/{folder}"
+
+    def _gone(self, c: dict, segments: list[dict]) -> DataFrame | None:
+        """_id, by: the last of the segments that replaces or deletes each id; None if none does."""
+        out = None
+        for s in segments:
+            if s["gone"]:
+                own = self.spark.read.schema(f"{ID} string").parquet(self._at(c, f"gone-{s['n']}")).withColumn("by", F.lit(s["n"]))
+                out = own if out is None else out.union(own)
+        return None if out is None else out.groupBy(ID).agg(F.max("by").alias("by"))
+
+    def _live(self, c: dict, kind: str, schema, segments: list[dict]) -> DataFrame:
+        """What the segments hold of a kind of rows, without those of ids that a later segment has taken over."""
+        out = None
+        for s in segments:
+            if kind == "postings" and not s["postings"]:
+                continue
+            own = self.spark.read.schema(schema).parquet(self._at(c, f"{kind}-{s['n']}")).withColumn("_in", F.lit(s["n"]))
+            out = own if out is None else out.union(own)
+        if out is None:
+            return self.spark.createDataFrame([], schema)
+        gone = self._gone(c, segments)
+        if gone is not None:
+            gone = gone.withColumnRenamed(ID, "_gone")
+            out = out.join(gone, (F.col(ID) == F.col("_gone")) & (F.col("_in") < F.col("by")), "left_anti")
+        return out.drop("_in")
 
     def committed(self, name: str) -> DataFrame:
         """The last committed version: immutable, so a total and its page agree."""
         c = self._get(name)
-        schema = c["mapping"].schema()
-        return self.spark.read.schema(schema).parquet(self._version(c)) if c["version"] else self.spark.createDataFrame([], schema)
+        return self._live(c, "segment", c["mapping"].schema(), c["segments"])
+
+    def postings(self, name: str) -> DataFrame:
+        """field, term, _id, tf, length, bucket of the last committed version's documents."""
+        c = self._get(name)
+        return self._live(c, "postings", S.POSTINGS, c["segments"])
+
+    @staticmethod
+    def _totals(c: dict) -> dict | None:
+        """search.field_totals() of the committed version, from its segments' own; None where some documents are replaced."""
+        if any(s["gone"] for s in c["segments"]):
+            return None
+        return {f: [sum(s["totals"][f][k] for s in c["segments"]) for k in (0, 1)] for f in c["mapping"].default_fields()}
+
+    def _write_segment(self, c: dict, n: int, rows: DataFrame, gone: DataFrame | None) -> dict:
+        mapping, counts = c["mapping"], {}
+        for kind in ("segment", "gone", "postings"):  # of a commit that did not get to the catalog file
+            self.files.delete(self._at(c, f"{kind}-{n}"))
+        own = self._at(c, f"segment-{n}")
+        by_id = rows.select(*mapping.schema().names).repartitionByRange(ID).sortWithinPartitions(ID)
+        by_id.write.option(f"parquet.bloom.filter.enabled#{ID}", "true").parquet(own)
+        docs = self.spark.read.schema(mapping.schema()).parquet(own)
+        counts["n"], counts["rows"] = n, docs.count()
+        counts["totals"] = S.field_totals(docs, mapping)
+        counts["postings"] = bool(mapping.default_fields()) and counts["rows"] > 0
+        if counts["postings"]:
+            S.write_postings(docs, mapping, self._at(c, f"postings-{n}"))
+        counts["gone"] = gone is not None
+        if gone is not None:
+            gone.select(ID).distinct().write.parquet(self._at(c, f"gone-{n}"))
+        return counts
 
     def _write_version(self, name: str, upto: int) -> bool:
+        """A segment of the commands up to `upto` that are not committed yet."""
         c = self._get(name)
         if c["committed_seq"] >= upto:
             return False
         tail = self.log.read(max(c["committed_seq"], c["created_seq"]) + 1, upto + 1).where(F.col("collection") == name)
-        rows = C.fold(self.committed(name), tail, c["committed_seq"])
-        rows = with_tokens(extract(rows, c["mapping"]), c["mapping"])
-        new = dict(c, version=c["version"] + 1, committed_seq=upto)
-        self.files.delete(self._version(new))  # of a commit that did not get to the catalog file
-        rows.select(*c["mapping"].schema().names).write.parquet(self._version(new))
+        new = dict(c, committed_seq=upto)
+        news = C.latest(tail).drop("collection")
+        if not news.isEmpty():
+            rows = with_tokens(extract(news.where("op = 'index'").drop("op"), c["mapping"]), c["mapping"])
+            n = max((s["n"] for s in c["segments"]), default=0) + 1
+            new["segments"] = [*c["segments"], self._write_segment(c, n, rows, news if c["segments"] else None)]
+            new["version"] = c["version"] + 1
+            new = self._merged(new)
         self.collections[name] = new
         return True
 
+    def _merged(self, c: dict) -> dict:
+        """c with its newest segments made one, from the first on that is not larger than all that came after it."""
+        sizes = [s["rows"] for s in c["segments"]]
+        for i, own in enumerate(sizes[:-1]):
+            if own <= sum(sizes[i + 1 :]):
+                part = c["segments"][i:]
+                rows = self._live(c, "segment", c["mapping"].schema(), part)
+                gone = self._gone(c, part) if i else None
+                return dict(c, segments=[*c["segments"][:i], self._write_segment(c, part[-1]["n"] + 1, rows, gone)])
+        return c
+
     def commit(self, name: str) -> bool:
         """Make what is logged of one collection searchable; whether there was anything."""
         old = dict(self._get(name))
@@ -232,10 +347,20 @@ class Catalog:
             self._forget(c)
         self.log.purge(self.applied_seq)
 
-    def _forget(self, c: dict) -> None:
-        """Drop versions before the last but one: a reader of the last version may still be at work."""
-        if c["version"] > 1:
-            self.files.delete(self._version(dict(c, version=c["version"] - 1)))
+    def tidy(self) -> None:
+        """Make the log's many small segments one; no command is lost or changed."""
+        self._own()
+        if len(self.log.segments()) > LOG_SEGMENTS:
+            self.log.merge()
+
+    def _forget(self, old: dict) -> None:
+        """Drop folders that neither this version nor the last one names: a reader of the last may still be at work."""
+        now = next((c for c in self.collections.values() if c["uuid"] == old["uuid"]), None)
+        if now is not None and now["version"] != old["version"]:
+            keep = {*self._named(now), *self._named(old)}
+            for folder in self.files.names(f"{self.root}/{now['uuid']}"):
+                if folder not in keep:
+                    self.files.delete(self._at(now, folder))
 
     def min_committed(self) -> int | None:
         return C.min_committed(self.as_frame()).first()["min_committed"]
@@ -247,27 +372,42 @@ class Catalog:
         self.checkpoint()
         sid = f"{self.applied_seq:020d}-{uuid.uuid4().hex[:8]}"
         for c in self.collections.values():
-            if c["version"]:
-                self.files.copy(self._version(c), f"{self.root}/_snapshots/{sid}/{c['uuid']}/v{c['version']}")
+            for folder in self._named(c):
+                self.files.copy(self._at(c, folder), f"{self.root}/_snapshots/{sid}/{c['uuid']}/{folder}")
         self.files.copy(self.path, f"{self.root}/_snapshots/{sid}/_catalog.json")  # last: it makes the snapshot whole
         return sid
 
+    def snapshots(self) -> list[str]:
+        """Ids of the whole snapshots, oldest first."""
+        folder = f"{self.root}/_snapshots"
+        return [n for n in self.files.names(folder) if self.files.exists(f"{folder}/{n}/_catalog.json")]
+
+    def snapshot_if_due(self, every: int = SNAPSHOT_EVERY, keep: int = SNAPSHOTS) -> str | None:
+        """A snapshot if `every` commands were logged since the last one; all but the last `keep` go."""
+        last = self.snapshots()[-1:]
+        if self.seq - (int(last[0].split("-")[0]) if last else 0) < every:
+            return None
+        sid = self.snapshot()
+        for old in self.snapshots()[:-keep]:
+            self.files.delete(f"{self.root}/_snapshots/{old}")
+        return sid
+
     def install(self, folder: str) -> None:
         """Replace the whole state by a snapshot's (its folder, maybe of another root); the catalog file comes last."""
         if not self.files.exists(f"{folder}/_catalog.json"):
             raise RecoveryError("the snapshot has no catalog")
         try:
             j = json.loads(self.files.read(f"{folder}/_catalog.json"))
-            named = [(c["uuid"], c["version"]) for c in j["collections"].values()]
+            named = [(c["uuid"], own) for c in j["collections"].values() for own in self._named(c)]
         except (ValueError, KeyError, TypeError) as e:
             raise RecoveryError(f"the snapshot's catalog is damaged: {e}") from None
-        for uid, version in named:
-            if version:
-                if not self.files.exists(f"{folder}/{uid}/v{version}"):
-                    raise RecoveryError("the snapshot lacks data that its catalog names")
-                to = f"{self.root}/{uid}/v{version}"
-                self.files.delete(to)
-                self.files.copy(f"{folder}/{uid}/v{version}", to)
+        self._own()
+        for uid, own in named:
+            if not self.files.exists(f"{folder}/{uid}/{own}"):
+                raise RecoveryError("the snapshot lacks data that its catalog names")
+        for uid, own in named:
+            self.files.delete(f"{self.root}/{uid}/{own}")
+            self.files.copy(f"{folder}/{uid}/{own}", f"{self.root}/{uid}/{own}")
         self.log.truncate(0)
         self.files.write(self.path, json.dumps(j, sort_keys=True))
         self._load()

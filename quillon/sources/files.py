@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which the driver and all executors see.
+
+    Where that is unset, a local session gets a temporary folder, removed at exit; a cluster has no such folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()

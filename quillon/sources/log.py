@@ -26,9 +26,11 @@ class CommandLog:
 
     def segments(self) -> list[tuple[int, int, str]]:
         """(first, last, path) of the segments that follow on from the first; later ones don't count."""
-        found = sorted((int(m[1]), int(m[2]), f"{self.root}/{m[0]}") for n in self.files.names(self.root) if (m := SEGMENT.match(n)))
+        found = [(int(m[1]), int(m[2]), f"{self.root}/{m[0]}") for n in self.files.names(self.root) if (m := SEGMENT.match(n))]
         out: list[tuple[int, int, str]] = []
-        for first, last, path in found:
+        for first, last, path in sorted(found, key=lambda x: (x[0], -x[1])):
+            if out and last <= out[-1][1]:  # part of a merged one
+                continue
             if out and first != out[-1][1] + 1:
                 break
             out.append((first, last, path))
@@ -73,3 +75,15 @@ class CommandLog:
                 kept.write.parquet(tmp)
                 self.files.move(tmp, f"{self.root}/segment-{first:020d}-{start - 1:020d}")
                 self.files.delete(path)
+
+    def merge(self) -> None:
+        """All segments as one. A crash before the last step leaves a segment that starts where others do; the longest counts."""
+        own = self.segments()
+        if len(own) < 2:
+            return
+        first, last = own[0][0], own[-1][1]
+        tmp = f"{self.root}/.tmp-{uuid.uuid4().hex}"
+        self.spark.read.schema(STORED).parquet(*[p for _, _, p in own]).repartitionByRange("seq").write.parquet(tmp)
+        self.files.move(tmp, f"{self.root}/segment-{first:020d}-{last:020d}")
+        for _, _, path in own:
+            self.files.delete(path)

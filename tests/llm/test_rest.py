@@ -149,6 +149,20 @@ def test_blocks_retrieve_every_code_within_the_radius():
 
 # decontamination
 
+def test_blocks_of_items_and_very_long_texts(spark, monkeypatch):
+    items = ["the quick brown fox jumps over the lazy dog and runs away from it", "another item that has some forty characters in it", None, "", "a third one, in block letters and with commas"]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(0, items[0], "y")], "item_id long, text string, doc_id string")
+    long = "word " * 500_000 + items[0].replace("lazy", "lasy") + " word" * 500_000
+    rows = [(1, long, 0), (2, "\n" * 5_000_000 + items[1].upper(), 0), (3, "x" * 5_000_000, 0), (4, None, 0), (5, items[4], 0), (5, items[4], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance int").repartition(4)
+    found = lambda: sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect())
+    want = [(1, 0, 1), (1, 0, 1), (2, 1, 0), (5, 4, 0), (5, 4, 0)]
+    assert found() == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 50)
+    assert found() == want
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == decontaminate.contaminated(docs.limit(0), bench).count() == 0
+
+
 def plain_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
@@ -191,6 +205,18 @@ def test_items_match_brute_force(spark):
 
 # chat
 
+def test_chat_of_an_empty_table_clashing_names_and_long_turns(spark):
+    schema = "conv_id long, turn long, role string, text string, seq string, loss int, n_turns string"
+    assert chat.chat_report(spark.createDataFrame([], schema)).count() == 0
+    long = "\\#<: " * 400_000
+    rows = [(1, 0, "user", long, "a", 1, "b"), (1, 1, "assistant", long, "a", 1, "b"), (1, 1, "assistant", long, "a", 1, "b"), (None, None, None, None, None, None, None)]
+    got = {r.conv_id: r for r in chat.chat_report(spark.createDataFrame(rows, schema)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars) == (3, 2 * len(long))
+    assert got[1].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert (got[None].n_turns, got[None].loss_chars) == (1, 0)
+
+
+
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "ho \\ # < : </turn>\n### user: "),
     (2, 1, "assistant", "first"), (2, 0, None, None), (2, 2, "odd: role\\", ""),

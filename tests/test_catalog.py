@@ -1,7 +1,7 @@
 import pytest
 
 from quillon.engine import Engine
-from quillon.errors import CollectionNotFound, DocumentNotFound, RecoveryError, SchemaConflict, ValidationError
+from quillon.errors import CollectionNotFound, DocumentNotFound, RecoveryError, SchemaConflict, ValidationError, WriterLost
 from quillon.mapping import Field, Mapping
 from quillon.operators import commands as C
 from quillon.operators import search as S
@@ -132,11 +132,11 @@ def test_postings_give_what_the_scan_gives(spark, tmp_path):
     rows = [(i, f"common word {'rare' if i % 3 == 0 else 'other'} " + "pad " * (i % 5), "k" if i % 2 else "common") for i in range(60)]
     docs = collection_of(spark.createDataFrame(rows, "id long, title string, tag string"), Mapping({"title": Field("text", True), "tag": Field("keyword", True)}), __import__("pyspark.sql.functions").sql.functions.col("id"))
     mapping = Mapping({"title": Field("text", True), "tag": Field("keyword", True)})
-    S.write_postings(docs, mapping, f"file://{tmp_path}/postings", 8)
+    S.write_postings(docs, mapping, f"file://{tmp_path}/postings")
     index = spark.read.parquet(f"file://{tmp_path}/postings")
     for q in ["common", "rare other", "+common -rare", "common AND (rare OR pad)^2", "title:common tag:k"]:
         a = {r["_id"]: round(r["score"], 9) for r in S.scored(docs, mapping, q).collect()}
-        b = {r["_id"]: round(r["score"], 9) for r in S.postings_scored(index, docs, mapping, q, 8).collect()}
+        b = {r["_id"]: round(r["score"], 9) for r in S.postings_scored(index, docs, mapping, q).collect()}
         assert a == b and a, q
 
 
@@ -147,11 +147,11 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     target = StreamedTable(spark, f"file://{tmp_path}/table")
     stream = lambda: spark.readStream.schema(C.COMMANDS).option("maxFilesPerTrigger", 8).parquet(f"{tmp_path}/in")
     ingest(stream(), target, BOOKS).awaitTermination()
-    first = sorted(map(tuple, target.read().collect()))
+    first = sorted(map(tuple, target.read("c").drop("collection").collect()))
     assert first == sorted(map(tuple, C.live(commands).select("_id", "_source", "_seq").collect()))
     ingest(stream(), target, BOOKS).awaitTermination()
     target.apply(commands, target.manifest()["batch"])
-    assert sorted(map(tuple, target.read().collect())) == first
+    assert sorted(map(tuple, target.read("c").drop("collection").collect())) == first
 
 
 def test_front_end(spark, root):
@@ -175,3 +175,102 @@ def test_front_end(spark, root):
     assert e.get_document("books", "never").status == 404
     assert e.drop_collection("books").status == 204 and e.drop_collection("books").status == 404
     assert e.list_collections().body == {"collections": []}
+
+
+def test_one_writer(spark, root):
+    first = Catalog(spark, root)
+    first.create("books", BOOKS)
+    first.upsert("books", '{"title":"kept"}', "a")
+    second = Catalog(spark, root)
+    with pytest.raises(WriterLost):
+        first.upsert("books", '{"title":"lost"}', "b")
+    with pytest.raises(WriterLost):
+        first.checkpoint()
+    second.checkpoint()
+    reader = Catalog(spark, root, read_only=True)
+    assert total(reader, "kept") == 1 and total(second, "lost") == 0
+    with pytest.raises(WriterLost):
+        reader.create("x", BOOKS)
+    second.upsert("books", '{"title":"more"}', "c")
+
+
+def test_segments_are_merged_and_agree_with_the_plain_fold(spark, root):
+    import random
+
+    rnd, c, want = random.Random(4), Catalog(spark, root), {}
+    c.create("books", BOOKS)
+    order = 0
+    for n in (40, 6, 3, 1, 12, 2):
+        rows = []
+        for _ in range(n):
+            i = f"d{rnd.randrange(50)}"
+            want[i] = f'{{"title":"word{rnd.randrange(4)} common","year":{order}}}'
+            rows.append((order, i, want[i]))
+            order += 1
+        c.upsert_batch("books", spark.createDataFrame(rows, "`order` long, id string, source string"))
+        gone = rnd.sample(sorted(want), 2)
+        for i in gone:
+            assert c.delete("books", i) in (True, False)
+            del want[i]
+        c.checkpoint()
+        assert {r["_id"]: r["_source"] for r in c.committed("books").collect()} == want
+        assert len(c.collections["books"]["segments"]) <= 4
+        for q in ("word1", "common -word2", "+word0 common"):
+            docs, mapping = c.committed("books"), BOOKS
+            plain = S.search(docs, mapping, q, 100)
+            found = c.search("books", q, 100)
+            assert found.total == plain.total
+            assert [(r["_id"], round(r["score"], 9)) for r in found.hits.collect()] == [(r["_id"], round(r["score"], 9)) for r in plain.hits.collect()]
+    folders = c.files.names(f"{root}/{c.collections['books']['uuid']}")
+    assert len([f for f in folders if f.startswith("segment")]) <= 2 * len(c.collections["books"]["segments"]) + 2
+    again = Catalog(spark, root, read_only=True)
+    assert {r["_id"]: r["_source"] for r in again.committed("books").collect()} == want
+
+
+def test_snapshot_cadence_and_a_tidy_log(spark, root, monkeypatch):
+    from quillon.sources import catalog as module
+
+    monkeypatch.setattr(module, "LOG_SEGMENTS", 3)
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    made = []
+    for k in range(6):
+        c.upsert("books", "{}", f"b{k}")
+        made.append(c.snapshot_if_due(3, 1))
+    assert [m is not None for m in made] == [False, True, False, False, True, False] and c.snapshots() == [made[4]]
+    for k in range(4):
+        c.upsert("books", "{}", f"c{k}")
+    before = sorted(map(tuple, c.log.read().collect()))
+    assert len(c.log.segments()) > 3
+    c.tidy()
+    assert len(c.log.segments()) == 1 and sorted(map(tuple, c.log.read().collect())) == before
+    c.upsert("books", "{}", "last")
+    assert Catalog(spark, root).search("books", "*", 0).total == 11
+
+
+def test_a_log_merged_half_way(spark, root):
+    log = CommandLog(spark, root)
+    rows = lambda a, b: spark.createDataFrame([(i, "delete", "c", str(i), None, None, None) for i in range(a, b + 1)], C.COMMANDS)
+    log.append(rows(1, 2), 1, 2)
+    log.append(rows(3, 4), 3, 4)
+    C.with_crc(rows(1, 4)).write.parquet(f"{root}/_log/segment-{1:020d}-{4:020d}")  # the merged one, before the others went
+    assert [(a, b) for a, b, _ in log.segments()] == [(1, 4)]
+    log.append(rows(5, 5), 5, 5)
+    assert sorted(r.seq for r in log.read().collect()) == [1, 2, 3, 4, 5]
+
+
+def test_a_stream_of_several_collections(spark, tmp_path):
+    """Two collections with the same ids; one is dropped and made again; the stream comes in batches and twice."""
+    rows = [(1, "create", "a", None, None), (2, "create", "b", None, None), (3, "index", "a", "k", "1"), (4, "index", "b", "k", "2"), (5, "drop", "a", None, None), (6, "index", "a", "lost", "3"), (7, "create", "a", None, None), (8, "index", "a", "m", "4"), (9, "delete", "b", "never", None), (10, "index", "b", "k", "5"), (11, "index", "free", "k", "6")]
+    log = spark.createDataFrame([(s, o, c, i, t, f"u{s}" if o == "create" else None, "{}" if o == "create" else None) for s, o, c, i, t in rows], C.COMMANDS)
+    target = StreamedTable(spark, f"file://{tmp_path}/table")
+    want = {("a", "m", "4", 8), ("b", "k", "5", 10), ("free", "k", "6", 11)}
+    for number, (low, high) in enumerate([(1, 3), (4, 6), (7, 8), (9, 9), (10, 11)]):
+        part = log.where(f"seq between {low} and {high}")
+        target.apply(part, number)
+        target.apply(part, number)
+        if number == 1:
+            assert {r["_id"] for r in target.read("a").collect()} == set()
+    assert {tuple(r) for r in target.read().collect()} == want
+    target.apply(log, 9)
+    assert {tuple(r) for r in target.read().collect()} == want
