@@ -221,10 +221,11 @@ def with_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, *columns[:2]], names=[*names, "own_key", "own_part"])
 
 
-def crowd_links(rows: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
+def crowd_links(rows: DataFrame, radius: int, partitions: int | None = None, words: int | None = None, settle: Callable | None = None) -> DataFrame:
     """u, v: links between roots that join those of which two rows of a group have codes at most `radius` apart.
 
-    rows: key, part, root and wide (the whole code); all pairs of a (key, part) are compared, by blocks.
+    rows: key, part, root and wide (the whole code); all pairs of a (key, part) are compared, by blocks. words: of
+    wide, the first so many 64-bit words are the code; settle(bits apart, wide of one, of the other) has the last say.
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -232,14 +233,18 @@ def crowd_links(rows: DataFrame, radius: int, partitions: int | None = None) ->
         for starts, roots, wides in groups(batches, 20_000):
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(roots)], strict=True):
                 ids, at = np.unique(roots[lo:hi], return_inverse=True)
-                words = np.ascontiguousarray(np.frombuffer(b"".join(wides[lo:hi]), "<u8").reshape(hi - lo, -1).T)
+                raw = np.frombuffer(b"".join(wides[lo:hi]), np.uint8).reshape(hi - lo, -1)
+                code = np.ascontiguousarray(raw[:, : 8 * words] if words else raw).view("<u8")
                 top = np.arange(len(ids))
                 for i in range(0, hi - lo, 256):
                     apart = np.zeros((min(256, hi - lo - i), hi - lo - i), np.uint16)
-                    for w in words:
+                    for w in np.ascontiguousarray(code.T):
                         apart += np.bitwise_count(w[i : i + 256, None] ^ w[None, i:])
                     own = top[at]
                     x, y = np.nonzero((apart <= radius) & (own[i : i + 256, None] != own[None, i:]))
+                    if settle is not None and len(x):
+                        ok = np.concatenate([settle(apart[x[k : k + 50_000], y[k : k + 50_000]], raw[x[k : k + 50_000] + i], raw[y[k : k + 50_000] + i]) for k in range(0, len(x), 50_000)])
+                        x, y = x[ok], y[ok]
                     top = join_roots(top, at[x + i], at[y + i])
                 moved = np.flatnonzero(top != np.arange(len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[top[moved]]), pa.array(ids[moved])], schema=PAIRS)
