@@ -12,9 +12,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.files import Files
+
 #: Text bytes that a Python worker turns into numpy arrays at once.
 SLICE_BYTES = 1 << 20
 
@@ -23,13 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where it is unset (local sessions, tests) a temporary folder is made, set and removed at exit.
+    Where it is unset, a local session (tests) gets a temporary folder, removed at exit; a cluster has no such folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
@@ -39,7 +47,34 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/quillon-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is there goes at the session's end, or before by discard()."""
+    path = f"{shared_root(spark)}/quillon-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_discard_all, Files(spark))
+    _made.append(path)
+    return path
+
+
+def made() -> int:
+    """A mark for discard()."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete what was put into the shared folder since a mark, but for the last `keep` paths: results that nothing reads any more."""
+    old = _made[since : len(_made) - keep]
+    files = Files(spark)
+    for path in old:
+        files.delete(path)
+    del _made[since : len(_made) - keep]
+
+
+def _discard_all(files: Files) -> None:
+    for path in _made:
+        try:
+            files.delete(path)
+        except (Py4JError, OSError):  # the session's JVM has gone already
+            return
 
 
 def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:

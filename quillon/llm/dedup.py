@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillon.llm.automaton import SHARD_WORDS, reference_spans
@@ -78,8 +79,8 @@ def repeated_words_digest(docs: DataFrame, window: int = 20) -> DataFrame:
 def replace_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     """docs with the words left as text, in the same columns; documents that lose all their words go.
 
-    Other columns stay beside their text; n_chars, where there is one, counts the new text. Documents that had
-    no word stay, and null texts stay null.
+    Other columns stay beside their text; n_chars, where there is one, counts the new text where words went.
+    Documents that had no word stay, and null texts stay null.
     """
     spans = repeated_spans(docs, words_unit(window), True)
     release(docs.sparkSession)
@@ -88,13 +89,18 @@ def replace_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            new, keep = [], []
+            new, keep, cut = [], [], []
             spans_of = span_lists(part.column("__spans"))
             for t, s, ok in zip(texts, spans_of, part.column("text").is_valid().to_pylist(), strict=True):
                 words, n = remaining_words(t, s) if s is not None else ([], 0)
                 keep.append(s is None or len(words) > 0)
-                new.append(None if not ok else (t if s is None or len(words) == n else b" ".join(words)).decode("utf-8", "replace"))
-            columns = [pa.array(new, pa.string()) if c == "text" else pa.array([None if x is None else len(x) for x in new], part.schema.field(c).type) if c == "n_chars" else part.column(c) for c in names]
+                cut.append(s is not None and len(words) < n)
+                new.append(None if not ok else (b" ".join(words) if cut[-1] else t).decode("utf-8", "replace"))
+            changed = {"text": pa.array(new, pa.string())}
+            if "n_chars" in names:
+                kind = part.schema.field("n_chars").type
+                changed["n_chars"] = pc.if_else(pa.array(cut), pa.array([len(x or "") for x in new], kind), part.column("n_chars"))
+            columns = [changed[c] if c in changed else part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return rows.select(*names, "__spans").mapInArrow(run, docs.schema)

@@ -232,7 +232,7 @@ def edges(x: np.ndarray) -> np.ndarray:
 def range_hashes(unit: Unit, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, longest: int, seed: int = 0) -> np.ndarray:
     """64-bit hashes of ranges of at most `longest` symbols."""
     sizes = end - begin
-    out = mix(sizes.astype(U) + U(seed + 1) * BASE)
+    out = mix(sizes.astype(U) + U((seed + 1) * int(BASE) & (1 << 64) - 1))
     for k in range(0, longest, unit.step):
         digit = unit.digit(symbols, np.minimum(begin + k, len(symbols) - 8), sizes - k)
         out = chain(out, digit, ODD[256 * seed + k // unit.step])

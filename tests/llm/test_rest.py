@@ -241,20 +241,3 @@ def test_chat_round_trip_and_order(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert {c for c, r in got.items() if r.valid} == {1, 4, -7}
     assert chat.chat_report(df.limit(0)).count() == 0
-
-
-# the pipeline
-
-def test_pipeline_stages(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id for r in seen.select("doc_id").collect()}
-        seen = stage(spark, seen, sf)
-        assert seen.schema.names == docs.schema.names, name
-        after = {r.doc_id for r in seen.select("doc_id").collect()}
-        assert after <= before and after, name
-    got = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in got.select("doc_id").collect()} == after
