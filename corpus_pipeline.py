@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import materialize, table
+from quillon.llm.common import discard, made, materialize, table
 from quillon.llm.decontaminate import drop_contaminated
 from quillon.llm.dedup import replace_repeated_words
 from quillon.llm.encoding import bpe_encode
@@ -44,12 +44,14 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("decontamination", decontamination), ("encoding", encoding)]
 
-#: SQL has neither the classifier nor the fingerprints; tests hold the stages against brute force.
+#: SQL has neither the classifier nor the fingerprints; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """The last stage's result; what stages wrote on the way is deleted once the next one is done."""
+    docs, begin = table(spark, sf_dir, "documents"), made()
+    for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", large=True)
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
+        discard(spark, begin, keep=1)
+    return docs
