@@ -3,7 +3,8 @@
 Both judge windows on the input. Null texts count as empty; texts shorter than a window lose nothing. Repeated
 rows (one doc_id and text) are one document: all stay, or lose the same. Rows of one doc_id with different
 texts are, for words, different occurrences of which one stays; for bytes neither is the smaller. Rows without
-doc_id lose nothing and remove nothing. Only doc_id and text are read.
+doc_id lose nothing and remove nothing. An empty table gives no rows. Only doc_id and text are read, whatever
+other columns are called (replace_repeated_words carries them). Memory of the longest text: some 30 bytes a byte.
 """
 
 from __future__ import annotations

@@ -258,7 +258,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every node to its least neighbour, shortens the paths twice and contracts the links; the
     number of components at least halves. Rounds are written to the shared folder; all joins and sums are
-    by node, with partial aggregation, and nothing is collected.
+    by node, with partial aggregation, and nothing is collected. A root of very many nodes is a hot key of the joins
+    by root, which adaptive execution splits (one side has a row a root).
     """
     links = materialize(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     total = None

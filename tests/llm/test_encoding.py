@@ -113,7 +113,7 @@ def test_very_long_texts_and_words(spark):
     library = Tokenizer.from_file(WORD)
     rnd = random.Random(5)
     some = " ".join(rnd.choice(TEXTS[4:9]) + str(rnd.randrange(10**6)) for _ in range(60_000))
-    texts = ["\n" * 5_000_000, "".join(rnd.choice("etaoinshr") for _ in range(300_000)), some, some.replace(" ", "\n"), "é " * 700_000]
+    texts = ["\n" * 5_000_000, "".join(rnd.choice("etaoinshr") for _ in range(100_000)), some, "é " * 400_000]
     assert len(some) > 1 << 20
     rows = docs_of(spark, texts)
     counts = {r.doc_id: r.n_tokens for r in token_counts(rows, WORD).collect()}
