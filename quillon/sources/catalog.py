@@ -8,7 +8,7 @@ Layout under a root folder:
     <uuid>/postings-<n>/      the terms of segment n's documents, by bucket of the term
     _catalog.json             {applied_seq, collections: {name: {uuid, mapping, created_seq, version, committed_seq, segments}}}
     _lock                     the writer that opened the catalog last
-    _snapshots/<id>/          a catalog and the versions it names
+    _snapshots/<id>/          a catalog file; the folders that it names stay as long as it is there
     _quarantine/<uuid>.<seq>  folders that no live collection owns
 
 A write is durable once logged, and visible from the next checkpoint on: searches read the committed version,
@@ -111,7 +111,7 @@ class Catalog:
 
     def sweep(self) -> list[str]:
         """Move folders of uuid names that no collection owns to _quarantine; their new names."""
-        owned, moved = {c["uuid"] for c in self.collections.values()}, []
+        owned, moved = {c["uuid"] for c in self.collections.values()} | set(self._pinned()), []
         for n in self.files.names(self.root):
             if UUID.match(n) and n not in owned:
                 self.files.move(f"{self.root}/{n}", f"{self.root}/_quarantine/{n}.{self.seq}")
@@ -147,7 +147,8 @@ class Catalog:
         c = self._get(name)
         self._append(C.drop_command(self.spark, self.seq + 1, name))
         del self.collections[name]
-        self.files.delete(f"{self.root}/{c['uuid']}")
+        if c["uuid"] not in self._pinned():
+            self.files.delete(f"{self.root}/{c['uuid']}")
 
     def describe(self, name: str) -> Mapping:
         return self._get(name)["mapping"]
@@ -281,10 +282,10 @@ class Catalog:
             return None
         return {f: [sum(s["totals"][f][k] for s in c["segments"]) for k in (0, 1)] for f in c["mapping"].default_fields()}
 
-    def _write_segment(self, c: dict, n: int, rows: DataFrame, gone: DataFrame | None) -> dict:
+    def _write_segment(self, c: dict, rows: DataFrame, gone: DataFrame | None) -> dict:
+        """A new number's folders: numbers of commits that did not get to the catalog file, or of later snapshots, aren't used again."""
         mapping, counts = c["mapping"], {}
-        for kind in ("segment", "gone", "postings"):  # of a commit that did not get to the catalog file
-            self.files.delete(self._at(c, f"{kind}-{n}"))
+        n = 1 + max((int(f.rpartition("-")[2]) for f in self.files.names(f"{self.root}/{c['uuid']}")), default=0)
         own = self._at(c, f"segment-{n}")
         by_id = rows.select(*mapping.schema().names).repartitionByRange(ID).sortWithinPartitions(ID)
         by_id.write.option(f"parquet.bloom.filter.enabled#{ID}", "true").parquet(own)
@@ -309,8 +310,7 @@ class Catalog:
         news = C.latest(tail).drop("collection")
         if not news.isEmpty():
             rows = with_tokens(extract(news.where("op = 'index'").drop("op"), c["mapping"]), c["mapping"])
-            n = max((s["n"] for s in c["segments"]), default=0) + 1
-            new["segments"] = [*c["segments"], self._write_segment(c, n, rows, news if c["segments"] else None)]
+            new["segments"] = [*c["segments"], self._write_segment(c, rows, news if c["segments"] else None)]
             new["version"] = c["version"] + 1
             new = self._merged(new)
         self.collections[name] = new
@@ -324,7 +324,7 @@ class Catalog:
                 part = c["segments"][i:]
                 rows = self._live(c, "segment", c["mapping"].schema(), part)
                 gone = self._gone(c, part) if i else None
-                return dict(c, segments=[*c["segments"][:i], self._write_segment(c, part[-1]["n"] + 1, rows, gone)])
+                return dict(c, segments=[*c["segments"][:i], self._write_segment(c, rows, gone)])
         return c
 
     def commit(self, name: str) -> bool:
@@ -357,7 +357,7 @@ class Catalog:
         """Drop folders that neither this version nor the last one names: a reader of the last may still be at work."""
         now = next((c for c in self.collections.values() if c["uuid"] == old["uuid"]), None)
         if now is not None and now["version"] != old["version"]:
-            keep = {*self._named(now), *self._named(old)}
+            keep = {*self._named(now), *self._named(old), *self._pinned().get(now["uuid"], ())}
             for folder in self.files.names(f"{self.root}/{now['uuid']}"):
                 if folder not in keep:
                     self.files.delete(self._at(now, folder))
@@ -368,15 +368,20 @@ class Catalog:
     # snapshots
 
     def snapshot(self) -> str:
-        """Copy the committed versions and the catalog that names them; the snapshot's id."""
+        """Keep the committed version: its folders never change, so the catalog file that names them is all there is to write; the snapshot's id."""
         self.checkpoint()
         sid = f"{self.applied_seq:020d}-{uuid.uuid4().hex[:8]}"
-        for c in self.collections.values():
-            for folder in self._named(c):
-                self.files.copy(self._at(c, folder), f"{self.root}/_snapshots/{sid}/{c['uuid']}/{folder}")
-        self.files.copy(self.path, f"{self.root}/_snapshots/{sid}/_catalog.json")  # last: it makes the snapshot whole
+        self.files.write(f"{self.root}/_snapshots/{sid}/_catalog.json", self.files.read(self.path))
         return sid
 
+    def _pinned(self) -> dict[str, set[str]]:
+        """The folders that snapshots name, by collection."""
+        out: dict[str, set[str]] = {}
+        for sid in self.snapshots():
+            for c in json.loads(self.files.read(f"{self.root}/_snapshots/{sid}/_catalog.json"))["collections"].values():
+                out.setdefault(c["uuid"], set()).update(self._named(c))
+        return out
+
     def snapshots(self) -> list[str]:
         """Ids of the whole snapshots, oldest first."""
         folder = f"{self.root}/_snapshots"
@@ -393,21 +398,26 @@ class Catalog:
         return sid
 
     def install(self, folder: str) -> None:
-        """Replace the whole state by a snapshot's (its folder, maybe of another root); the catalog file comes last."""
+        """Replace the whole state by a snapshot's (its folder in this root or another's); the catalog file comes last."""
         if not self.files.exists(f"{folder}/_catalog.json"):
             raise RecoveryError("the snapshot has no catalog")
         try:
             j = json.loads(self.files.read(f"{folder}/_catalog.json"))
-            named = [(c["uuid"], own) for c in j["collections"].values() for own in self._named(c)]
+            named = [(c, own) for c in j["collections"].values() for own in self._named(c)]
         except (ValueError, KeyError, TypeError) as e:
             raise RecoveryError(f"the snapshot's catalog is damaged: {e}") from None
         self._own()
-        for uid, own in named:
-            if not self.files.exists(f"{folder}/{uid}/{own}"):
+        source = folder.rstrip("/").rpartition("/_snapshots/")[0]
+        for c, own in named:
+            if not self.files.exists(f"{source}/{c['uuid']}/{own}"):
                 raise RecoveryError("the snapshot lacks data that its catalog names")
-        for uid, own in named:
-            self.files.delete(f"{self.root}/{uid}/{own}")
-            self.files.copy(f"{folder}/{uid}/{own}", f"{self.root}/{uid}/{own}")
+        if source != self.root:  # copied by the executors
+            for c, own in named:
+                kind, to = own.partition("-")[0], f"{self.root}/{c['uuid']}/{own}"
+                schema = {"segment": Mapping.from_json(json.dumps(c["mapping"])).schema(), "gone": f"{ID} string", "postings": S.POSTINGS}[kind]
+                key = "term" if kind == "postings" else ID
+                self.files.delete(to)
+                self.spark.read.schema(schema).parquet(f"{source}/{c['uuid']}/{own}").write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(to)
         self.log.truncate(0)
         self.files.write(self.path, json.dumps(j, sort_keys=True))
         self._load()

@@ -48,6 +48,7 @@ class Files:
     def write(self, path: str, text: str) -> None:
         """All or nothing: a file of another name first, then a rename over the old one."""
         fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
         other = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(other, True)
         try:
@@ -69,13 +70,6 @@ class Files:
         if not fs.rename(p, q):
             raise OSError(f"{old} can't be moved to {new}")
 
-    def copy(self, old: str, new: str) -> None:
-        fs, p = self._at(old)
-        to, q = self._at(new)
-        to.mkdirs(q.getParent())
-        if not self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, q, False, self.conf):
-            raise OSError(f"{old} can't be copied to {new}")
-
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

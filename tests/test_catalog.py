@@ -274,3 +274,33 @@ def test_a_stream_of_several_collections(spark, tmp_path):
     assert {tuple(r) for r in target.read().collect()} == want
     target.apply(log, 9)
     assert {tuple(r) for r in target.read().collect()} == want
+
+
+def test_a_snapshot_keeps_its_folders(spark, root):
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    c.upsert("books", '{"title":"first"}', "a")
+    early = c.snapshot()
+    for k in range(4):
+        c.upsert("books", '{"title":"later"}', f"b{k}")
+        c.checkpoint()
+    late = c.snapshot()
+    c.drop("books")
+    c.checkpoint()
+    c = Catalog(spark, root)
+    assert c.list() == [] and c.quarantined == []
+    c.install(f"{root}/_snapshots/{early}")
+    assert (total(c, "first"), total(c, "later")) == (1, 0)
+    c.upsert("books", '{"title":"own"}', "z")
+    c.checkpoint()
+    assert (total(c, "first"), total(c, "own")) == (1, 1)
+    c.install(f"{root}/_snapshots/{late}")
+    assert (total(c, "first"), total(c, "later"), total(c, "own")) == (1, 4, 0)
+    for sid in c.snapshots():
+        c.files.delete(f"{root}/_snapshots/{sid}")
+    c.drop("books")
+    assert not c.files.exists(f"{root}/{uuid_of(c, root)}")
+
+
+def uuid_of(catalog, root):
+    return next((n for n in catalog.files.names(root) if len(n) == 36), "none")
