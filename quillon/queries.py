@@ -214,14 +214,23 @@ def field_stats(spark, sf):
 
 @register("postings_bm25", SCORES["bm25_multi_term"][1])
 def postings_bm25(spark, sf):
-    own = docs(spark, sf)
-    return rounded(S.postings_scored(S.postings(own, DOCS), own, DOCS, "the of idiot"))
+    own, index = indexed(spark, sf)
+    return rounded(S.postings_scored(index, own, DOCS, "the of idiot"))
 
 
 @register("postings_bool", bm25([("the", 1.0), ("of", 1.0)], f"{has('the')} AND NOT {has('idiot')}"))
 def postings_bool(spark, sf):
-    own = docs(spark, sf)
-    return rounded(S.postings_scored(S.postings(own, DOCS), own, DOCS, "+the of -text:idiot"))
+    own, index = indexed(spark, sf)
+    return rounded(S.postings_scored(index, own, DOCS, "+the of -text:idiot"))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as a stored collection, so texts are analysed once, and its stored postings."""
+    path = work_folder(spark, "index")
+    docs(spark, sf_dir).select(*DOCS.schema().names).write.parquet(f"{path}/docs")
+    own = spark.read.schema(DOCS.schema()).parquet(f"{path}/docs")
+    S.write_postings(own, DOCS, f"{path}/postings")
+    return own, spark.read.schema(S.POSTINGS).parquet(f"{path}/postings")
 
 
 # validation and extraction: sources made from events, some of them broken
@@ -401,7 +410,7 @@ def catalog_search(spark, sf):
 
 # the store itself: a catalog in a folder of its own for each query
 
-JSON = 'to_json(struct(text, lang, source, n_chars)) AS source'
+DOC_JSON = 'to_json(struct(text, lang, source, n_chars)) AS source'
 
 
 def new_catalog(spark: SparkSession):
@@ -412,7 +421,7 @@ def new_catalog(spark: SparkSession):
 
 def load(catalog, rows: DataFrame, name: str = "docs", doc_id=None) -> None:
     """Write rows of documents, in the order of doc_id, as one batch."""
-    own = rows.select(F.col("doc_id").alias("order"), (F.col("doc_id").cast("string") if doc_id is None else doc_id).alias("id"), F.expr(JSON))
+    own = rows.select(F.col("doc_id").alias("order"), (F.col("doc_id").cast("string") if doc_id is None else doc_id).alias("id"), F.expr(DOC_JSON))
     catalog.upsert_batch(name, own)
 
 
