@@ -59,3 +59,19 @@ def test_shards_end_when_full(spark):
     assert manifest.agg({"n_docs": "sum"}).first()[0] == 40
     starts = [r.start for r in token_file_report(manifest).orderBy("doc_id").collect()]
     assert np.all(np.diff(starts) == starts[1])
+
+
+def test_a_cluster_needs_a_shared_folder_and_discard_deletes(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from quillon.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_root(cluster)
+    mark = common.made()
+    first, last = (common.materialize(spark.range(k), "part") for k in (3, 5))
+    common.discard(spark, mark, keep=1)
+    assert last.count() == 5 and common.made() == mark + 1
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
+        first.count()
