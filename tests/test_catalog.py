@@ -304,3 +304,13 @@ def test_a_snapshot_keeps_its_folders(spark, root):
 
 def uuid_of(catalog, root):
     return next((n for n in catalog.files.names(root) if len(n) == 36), "none")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quillon.sources.files import work_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_folder(cluster, "x")
