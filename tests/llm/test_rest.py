@@ -5,7 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import pytest
 
 from quillon.llm import chat, decontaminate, neighbours, quality
 
