@@ -18,6 +18,8 @@ from quillon.errors import MappingError, ValidationError
 
 TYPES = {"text": T.StringType(), "keyword": T.StringType(), "i64": T.LongType(), "f64": T.DoubleType(), "date": T.TimestampType()}
 ID, SOURCE, SEQ = "_id", "_source", "_seq"
+#: Of the files that a collection keeps.
+COMPRESSION = "zstd"
 
 
 @dataclass(frozen=True)

@@ -1,21 +1,25 @@
 """Search over one committed view: exact totals, BM25 top-k with offset, point lookups.
 
 The scan path evaluates the bound query as one filter and one projection over the stored token arrays.
-The postings path reads only the query's terms: postings lie by term, in as many files as their size asks for
-(a stop word takes several). Both give the same matches and scores.
+The postings path reads only the query's terms: each postings file holds some documents, in runs by term, so a stop
+word is spread over all files. Both give the same matches and scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import DocumentNotFound, ValidationError
 from quillon.functions import scoring
 from quillon.functions.analyzer import analyze
-from quillon.mapping import ID, SOURCE, Mapping, tokens_of
+from quillon.mapping import COMPRESSION, ID, SOURCE, Mapping, tokens_of
 from quillon.plans.binder import Binder, statistics
 from quillon.plans.parser import parse
 from quillon.plans.tree import Bool, Boost, Node, Term
@@ -23,6 +27,10 @@ from quillon.plans.tree import Bool, Boost, Node, Term
 LIMIT, OFFSET = 10, 0
 #: The ids of pages up to this limit are sent to the scan for their sources; larger pages are joined.
 PAGE = 1000
+#: Tokens that a task sorts at once for the postings, and postings that it hands on at once.
+RUN, OUT = 4_000_000, 200_000
+#: How postings' files are written: with a dictionary of up to 8 MB for a column, the ids' above all.
+STORED = {"compression": COMPRESSION, "parquet.bloom.filter.enabled#term": "true", "parquet.dictionary.page.size": str(1 << 23)}
 
 
 @dataclass
@@ -111,9 +119,53 @@ def postings(docs: DataFrame, mapping: Mapping) -> DataFrame:
 
 
 def write_postings(docs: DataFrame, mapping: Mapping, path: str) -> None:
-    """Ordered by field, term and id over all files: statistics of files and row groups leave a query its terms' rows."""
-    rows = postings(docs, mapping)
-    rows.repartitionByRange("field", "term", ID).sortWithinPartitions("field", "term", ID).write.option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+    """postings() of docs of different ids, without a shuffle: a task writes the terms of its documents, in runs ordered by term.
+
+    A term's rows lie together in each run, so statistics of pages leave a query those rows; a stop word is in every file,
+    never in one. Ids repeat for each term and are few in a file: its dictionary holds them.
+    """
+    fields = [(f, mapping.fields[f].type == "text") for f in mapping.default_fields()]
+    rows = docs.select(ID, *[F.col(f"`{tokens_of(f) if text else f}`").alias(f"f{i}") for i, (f, text) in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += sum(len(pc.list_flatten(b.column(f"f{i}"))) if text else b.num_rows for i, (_, text) in enumerate(fields))
+            if size >= RUN:
+                yield from _term_runs(pa.Table.from_batches(held), fields)
+                held, size = [], 0
+        if held:
+            yield from _term_runs(pa.Table.from_batches(held), fields)
+
+    rows.mapInArrow(run, POSTINGS).write.options(**STORED).parquet(path)
+
+
+def _term_runs(rows: pa.Table, fields: list[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    """The postings of some documents, for each field by term and document."""
+    ids = pc.cast(rows.column(ID).combine_chunks(), pa.large_string())
+    for i, (field, text) in enumerate(fields):
+        lists = rows.column(f"f{i}")
+        if text:
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            doc, words = np.repeat(np.arange(len(ids)), lengths), pc.list_flatten(lists)
+        else:
+            lengths, doc, words = np.ones(len(ids), np.int64), np.arange(len(ids)), lists
+        there = words.is_valid().to_numpy()
+        if not there.any():
+            continue
+        coded = pc.cast(words, pa.large_string()).combine_chunks().drop_null().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = np.sort(rank[coded.indices.to_numpy()] * len(ids) + doc[there])  # term, then document
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf, key, terms = np.diff(np.append(at, len(key))), key[at], coded.dictionary.take(pa.array(order))
+        for k in range(0, len(key), OUT):
+            part = key[k : k + OUT]
+            d = part % len(ids)
+            columns = [pa.repeat(field, len(part)), terms.take(pa.array(part // len(ids))), ids.take(pa.array(d)), pa.array(tf[k : k + OUT]), pa.array(lengths[d].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns], names=["field", "term", ID, "tf", "length"])
 
 
 def field_totals(docs: DataFrame, mapping: Mapping) -> dict[str, list[int]]:

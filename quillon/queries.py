@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.mapping import ID, SEQ, SOURCE, Field, Mapping, tokens_of, valid_name
+from quillon.mapping import COMPRESSION, ID, SEQ, SOURCE, Field, Mapping, tokens_of, valid_name
 from quillon.operators import commands as C
 from quillon.operators import search as S
 from quillon.operators.documents import collection_of, extract, with_reason
@@ -227,7 +227,7 @@ def postings_bool(spark, sf):
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents as a stored collection, so texts are analysed once, and its stored postings."""
     path = work_folder(spark, "index")
-    docs(spark, sf_dir).select(*DOCS.schema().names).write.parquet(f"{path}/docs")
+    docs(spark, sf_dir).select(*DOCS.schema().names).write.option("compression", COMPRESSION).parquet(f"{path}/docs")
     own = spark.read.schema(DOCS.schema()).parquet(f"{path}/docs")
     S.write_postings(own, DOCS, f"{path}/postings")
     return own, spark.read.schema(S.POSTINGS).parquet(f"{path}/postings")

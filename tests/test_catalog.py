@@ -314,3 +314,24 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         work_folder(cluster, "x")
+
+
+def test_runs_of_postings(spark, tmp_path, monkeypatch):
+    """Several runs a file, texts that are null, empty or of repeated words, and wide ids."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators.documents import collection_of
+
+    monkeypatch.setattr(S, "RUN", 50)
+    monkeypatch.setattr(S, "OUT", 7)
+    mapping = Mapping({"title": Field("text", True), "tag": Field("keyword", True), "body": Field("text", True)})
+    words = ["the", "The", "é", "", None, "a b a", "zz " * 9, "the the cat"]
+    rows = [(f"{i:036d}", words[i % 8], words[(i * 3) % 8] if i % 3 else None, None if i % 5 else "k") for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        docs = collection_of(spark.createDataFrame(rows, "id string, title string, body string, tag string"), mapping, F.col("id"))
+        S.write_postings(docs, mapping, f"file://{tmp_path}/postings")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.schema(S.POSTINGS).parquet(f"file://{tmp_path}/postings")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.postings(docs, mapping).collect()))
