@@ -52,6 +52,19 @@ def _numbered(rows: DataFrame, collection: str, op: str, first_seq: int) -> Data
     return rows.select((F.col("order").cast("long") + first_seq).alias("seq"), F.lit(op).alias("op"), F.lit(collection).alias("collection"), "id", "source", F.lit(None).cast("string").alias("uuid"), F.lit(None).cast("string").alias("mapping"))
 
 
+def run_starts(runs: list[tuple[int, int, int, object, object]]) -> list[tuple[int, int, int]] | None:
+    """(part, run, rows in all runs before it) of runs (part, run, n, low, high); None if they overlap or one is no run (-1)."""
+    if any(r[1] < 0 or r[3] is None for r in runs):
+        return None
+    out, at, before = [], 0, None
+    for part, run, n, low, high in sorted(runs, key=lambda r: (r[3], r[4])):
+        if before is not None and low < before:
+            return None
+        out.append((part, run, at))
+        at, before = at + n, high
+    return out
+
+
 def latest(commands: DataFrame) -> DataFrame:
     """collection, _id, _seq, op, _source: the last command of each document; partial aggregation, no window."""
     last = F.max_by(F.struct("op", "source"), "seq")

@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,9 @@ from quillon.functions import analyzer
 from quillon.mapping import ID, SEQ, SOURCE, TYPES, Mapping, tokens_of
 from quillon.plans.binder import parse_date
 
+#: Ascending runs that are told apart in a partition; a scan's partition holds fewer files (an opened file counts as 4 MB of 128).
+RUNS = 64
+
 
 def _strict(text: str):
     def constant(name: str):
@@ -81,6 +85,37 @@ def with_reason(rows: DataFrame, mapping: Mapping, source: str = SOURCE) -> Data
     return rows.mapInArrow(run, schema)
 
 
+def with_places(rows: DataFrame, mapping: Mapping, source: str, order: str) -> DataFrame:
+    """with_reason(), and where each valid row stands: its partition (part), the ascending run of `order` in it (run, place in run).
+
+    A partition of more runs than RUNS, or a row without order, has run -1 from there on; refused rows have no run.
+    """
+    added = [T.StructField("reason", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("run", T.IntegerType()), T.StructField("place", T.LongType())]
+    schema = T.StructType([*rows.schema.fields, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, place, last = TaskContext.get().partitionId(), 0, -1, None
+        for b in batches:
+            found, runs, places = [], [], []
+            for s, o in zip(b.column(source).to_pylist(), b.column(order).to_pylist(), strict=True):
+                found.append(reason(mapping, s))
+                if found[-1] is not None:
+                    runs.append(None)
+                    places.append(None)
+                    continue
+                if at >= 0 and (o is None or o != o):
+                    at = -1
+                elif at >= 0 and last is not None and o < last:
+                    at, place = at + 1 if at < RUNS else -1, -1
+                place, last = place + 1, o
+                runs.append(at)
+                places.append(place)
+            more = [pa.array(found, pa.string()), pa.array([part] * len(found), pa.int32()), pa.array(runs, pa.int32()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(f.name for f in added)])
+
+    return rows.mapInArrow(run, schema)
+
+
 def date_column(text: Column) -> Column:
     """An RFC 3339 string as a timestamp (microseconds; a leap second is the one before it)."""
     return F.try_to_timestamp(F.regexp_replace(F.upper(text), r":60(\.|Z|[+-])", ":59$1"))

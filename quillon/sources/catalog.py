@@ -5,7 +5,7 @@ Layout under a root folder:
     _log/segment-*            the command log
     <uuid>/segment-<n>/       documents of a collection: Parquet by id, with a bloom filter on it, typed columns and tokens
     <uuid>/gone-<n>/          ids of older segments that segment n replaces or deletes
-    <uuid>/postings-<n>/      the terms of segment n's documents, by bucket of the term
+    <uuid>/postings-<n>/      the terms of segment n's documents; each file holds those of some documents, by term
     _catalog.json             {applied_seq, collections: {name: {uuid, mapping, created_seq, version, committed_seq, segments}}}
     _lock                     the writer that opened the catalog last
     _snapshots/<id>/          a catalog file; the folders that it names stay as long as it is there
@@ -27,20 +27,23 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.errors import CollectionNotFound, RecoveryError, SchemaConflict, ValidationError, WriterLost
-from quillon.mapping import ID, SEQ, SOURCE, Mapping, check_name
+from quillon.mapping import COMPRESSION, ID, SEQ, SOURCE, Mapping, check_name
 from quillon.operators import commands as C
 from quillon.operators import search as S
-from quillon.operators.documents import extract, reason, with_reason, with_tokens
+from quillon.operators.documents import extract, reason, with_places, with_tokens
 from quillon.sources.files import Files
 from quillon.sources.log import CommandLog
 
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 #: Logged commands after which write_if_due() makes a snapshot, and snapshots kept.
 SNAPSHOT_EVERY, SNAPSHOTS = 1000, 2
+#: How documents' files are written.
+STORED = {"compression": COMPRESSION, f"parquet.bloom.filter.enabled#{ID}": "true"}
 #: Segments of the log after which they are made one.
 LOG_SEGMENTS = 64
 
@@ -188,15 +191,28 @@ class Catalog:
 
     def upsert_batch(self, name: str, rows: DataFrame) -> tuple[int, DataFrame]:
         """Log the valid of rows (order, id, source), in their order; (their number, the others with reason)."""
-        mapping = self._get(name)["mapping"]
+        mapping, schema = self._get(name)["mapping"], T.StructType([*rows.schema.fields, T.StructField("reason", T.StringType())])
         stage = f"{self.root}/_log/.stage-{uuid.uuid4().hex}"
-        with_reason(rows.withColumn("id", F.coalesce("id", F.uuid())), mapping, "source").write.parquet(stage)  # ids are made once
+        with_places(rows.withColumn("id", F.coalesce("id", F.uuid())), mapping, "source", "order").write.option("compression", COMPRESSION).parquet(stage)  # ids are made once
         checked = self.spark.read.parquet(stage)
-        ordered, n = self._in_order(checked.where("reason is null").select("order", "id", "source"), f"{stage}-dense")
+        runs = checked.groupBy("part", "run").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("low"), F.max("order").alias("high")).collect()  # at most RUNS + 2 rows a partition
+        valid = checked.where("reason is null")
+        starts = C.run_starts([tuple(r) for r in runs if r["run"] is not None])
+        if starts is None:
+            ordered, n = self._in_order(valid.select("order", "id", "source"), f"{stage}-dense")
+        else:
+            n = sum(r["n"] for r in runs if r["run"] is not None)
+            bases = F.broadcast(self.spark.createDataFrame(starts, "part int, run int, base long"))
+            ordered = valid.join(bases, ["part", "run"]).select((F.col("base") + F.col("place")).alias("order"), "id", "source")
         if n:
             self._append(C.index_commands(ordered, name, self.seq + 1), n)
+        refused = self.spark.createDataFrame([], schema)
+        if any(r["run"] is None for r in runs):
+            checked.where("reason is not null").select(*schema.names).write.parquet(f"{stage}-refused")
+            refused = self.spark.read.parquet(f"{stage}-refused")
         self.files.delete(f"{stage}-dense")
-        return n, checked.where("reason is not null")
+        self.files.delete(stage)
+        return n, refused
 
     def delete_batch(self, name: str, ids: DataFrame) -> DataFrame:
         """Log a deletion for each of ids (order, id), in their order; id, existed in the committed view of now."""
@@ -283,12 +299,15 @@ class Catalog:
         return {f: [sum(s["totals"][f][k] for s in c["segments"]) for k in (0, 1)] for f in c["mapping"].default_fields()}
 
     def _write_segment(self, c: dict, rows: DataFrame, gone: DataFrame | None) -> dict:
-        """A new number's folders: numbers of commits that did not get to the catalog file, or of later snapshots, aren't used again."""
+        """A segment of rows (_id, _source, _seq), which lie by range of the id and in its order, and of the ids that are gone.
+
+        It gets a new number: those of commits that did not get to the catalog file, or of later snapshots, aren't used again.
+        """
         mapping, counts = c["mapping"], {}
         n = 1 + max((int(f.rpartition("-")[2]) for f in self.files.names(f"{self.root}/{c['uuid']}")), default=0)
         own = self._at(c, f"segment-{n}")
-        by_id = rows.select(*mapping.schema().names).repartitionByRange(ID).sortWithinPartitions(ID)
-        by_id.write.option(f"parquet.bloom.filter.enabled#{ID}", "true").parquet(own)
+        typed = with_tokens(extract(rows, mapping), mapping).select(*mapping.schema().names)
+        typed.write.options(**STORED).parquet(own)
         docs = self.spark.read.schema(mapping.schema()).parquet(own)
         counts["n"], counts["rows"] = n, docs.count()
         counts["totals"] = S.field_totals(docs, mapping)
@@ -301,31 +320,49 @@ class Catalog:
         return counts
 
     def _write_version(self, name: str, upto: int) -> bool:
-        """A segment of the commands up to `upto` that are not committed yet."""
+        """A segment of the commands up to `upto` that are not committed yet, and of the newest segments that they outgrow."""
         c = self._get(name)
         if c["committed_seq"] >= upto:
             return False
-        tail = self.log.read(max(c["committed_seq"], c["created_seq"]) + 1, upto + 1).where(F.col("collection") == name)
+        tail = self.log.read(max(c["committed_seq"], c["created_seq"]) + 1, upto + 1).where((F.col("collection") == name) & F.col("op").isin("index", "delete"))
         new = dict(c, committed_seq=upto)
-        news = C.latest(tail).drop("collection")
-        if not news.isEmpty():
-            rows = with_tokens(extract(news.where("op = 'index'").drop("op"), c["mapping"]), c["mapping"])
-            new["segments"] = [*c["segments"], self._write_segment(c, rows, news if c["segments"] else None)]
+        # ids and numbers only: how many commands, documents and documents that are left there are
+        last = tail.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seq") * 2 + (F.col("op") == "index").cast("long")).alias("last"))
+        r = last.agg(F.sum("n").alias("commands"), F.count(F.lit(1)).alias("ids"), F.count_if(F.col("last") % 2 == 1).alias("live")).first()
+        if r["ids"]:
+            news = tail.select(F.col("id").alias(ID), F.col("seq").alias(SEQ), "op", F.col("source").alias(SOURCE)) if r["commands"] == r["ids"] else C.latest(tail).drop("collection")
+            i = self._outgrown(c, r["live"])
+            part, ids = c["segments"][i:], tail.select(F.col("id").alias(ID))
+            gone = self._gone(c, part)
+            ids = ids if gone is None else ids.union(gone.select(ID))
+            new["segments"] = [*c["segments"][:i], self._write_segment(c, self._folded(c, part, news), ids if i else None)]
             new["version"] = c["version"] + 1
-            new = self._merged(new)
         self.collections[name] = new
         return True
 
-    def _merged(self, c: dict) -> dict:
-        """c with its newest segments made one, from the first on that is not larger than all that came after it."""
-        sizes = [s["rows"] for s in c["segments"]]
-        for i, own in enumerate(sizes[:-1]):
-            if own <= sum(sizes[i + 1 :]):
-                part = c["segments"][i:]
-                rows = self._live(c, "segment", c["mapping"].schema(), part)
-                gone = self._gone(c, part) if i else None
-                return dict(c, segments=[*c["segments"][:i], self._write_segment(c, rows, gone)])
-        return c
+    @staticmethod
+    def _outgrown(c: dict, rows: int) -> int:
+        """The place of the first segment that is not larger than all that comes after it, `rows` new ones included; their number if none is."""
+        sizes = [*(s["rows"] for s in c["segments"]), rows]
+        return next((i for i, own in enumerate(sizes[:-1]) if own <= sum(sizes[i + 1 :])), len(c["segments"]))
+
+    def _folded(self, c: dict, part: list[dict], news: DataFrame) -> DataFrame:
+        """_id, _source, _seq of the segments of part and the newer commands (one an id), by range of the id and in its order.
+
+        Sources alone are shuffled, once; what is made of them is made after that.
+        """
+        if not part:
+            return news.where("op = 'index'").select(ID, SOURCE, SEQ).repartitionByRange(ID).sortWithinPartitions(ID)
+        # a segment's documents come before the ids that it takes over, both before what is older
+        rows = news.select(ID, SOURCE, SEQ, F.lit((1 << 63) - 1).alias("at"), (F.col("op") == "index").alias("live"))
+        for k, s in enumerate(part):
+            own = self.spark.read.schema(c["mapping"].schema()).parquet(self._at(c, f"segment-{s['n']}"))
+            rows = rows.union(own.select(ID, SOURCE, SEQ, F.lit(2 * s["n"] + 1).cast("long"), F.lit(True)))
+            if k and s["gone"]:
+                ids = self.spark.read.schema(f"{ID} string").parquet(self._at(c, f"gone-{s['n']}"))
+                rows = rows.union(ids.select(ID, F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(2 * s["n"]).cast("long"), F.lit(False)))
+        first = F.row_number().over(Window.partitionBy(ID).orderBy(F.desc("at")))
+        return rows.repartitionByRange(ID).withColumn("rank", first).where("rank = 1 and live").select(ID, SOURCE, SEQ)
 
     def commit(self, name: str) -> bool:
         """Make what is logged of one collection searchable; whether there was anything."""
@@ -415,9 +452,9 @@ class Catalog:
             for c, own in named:
                 kind, to = own.partition("-")[0], f"{self.root}/{c['uuid']}/{own}"
                 schema = {"segment": Mapping.from_json(json.dumps(c["mapping"])).schema(), "gone": f"{ID} string", "postings": S.POSTINGS}[kind]
-                key = "term" if kind == "postings" else ID
+                options = S.STORED if kind == "postings" else STORED
                 self.files.delete(to)
-                self.spark.read.schema(schema).parquet(f"{source}/{c['uuid']}/{own}").write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(to)
+                self.spark.read.schema(schema).parquet(f"{source}/{c['uuid']}/{own}").write.options(**options).parquet(to)
         self.log.truncate(0)
         self.files.write(self.path, json.dumps(j, sort_keys=True))
         self._load()

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.mapping import COMPRESSION
 from quillon.operators.commands import COMMANDS, sound_prefix, with_crc
 from quillon.sources.files import Files
 
@@ -46,7 +47,7 @@ class CommandLog:
         if own and first != own[-1][1] + 1 or last < first:
             raise ValueError(f"commands {first} to {last} don't follow on {own[-1][1] if own else 0}")
         tmp = f"{self.root}/.tmp-{uuid.uuid4().hex}"
-        with_crc(commands).write.parquet(tmp)
+        with_crc(commands).write.option("compression", COMPRESSION).parquet(tmp)
         self.files.move(tmp, f"{self.root}/segment-{first:020d}-{last:020d}")
 
     def read(self, start: int = 0, stop: int | None = None) -> DataFrame:

@@ -316,6 +316,57 @@ def test_a_cluster_needs_a_shared_folder():
         work_folder(cluster, "x")
 
 
+def numbered(rows):
+    return [(i, f"d{i}", f'{{"title":"word {i}","year":{i}}}') for i in rows]
+
+
+BATCH = "`order` long, id string, source string"
+
+
+@pytest.mark.parametrize("order", [list(range(30)), [*range(20, 30), *range(10, 20), *range(10)], list(range(29, -1, -1)), [0, 5, *range(1, 5), *range(6, 30)]])
+def test_a_batch_is_numbered_in_order_and_leaves_no_copy(spark, root, order):
+    """In ascending runs that lie apart, whose numbers are told without a shuffle, and in others."""
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    n, bad = c.upsert_batch("books", spark.createDataFrame(numbered(order), BATCH).coalesce(2))
+    assert n == 30 and bad.isEmpty() and bad.columns == ["order", "id", "source", "reason"]
+    assert [(r["seq"], r["id"]) for r in c.log.read(2).orderBy("seq").collect()] == [(2 + i, f"d{i}") for i in range(30)]
+    assert [f for f in c.files.names(f"{root}/_log") if f.startswith(".stage")] == []
+
+
+def test_starts_of_runs():
+    assert C.run_starts([(1, 0, 3, 10, 12), (0, 0, 2, 20, 30), (0, 1, 4, 1, 9)]) == [(0, 1, 0), (1, 0, 4), (0, 0, 7)]
+    assert C.run_starts([(0, 0, 3, 1, 5), (1, 0, 3, 4, 8)]) is None, "they overlap"
+    assert C.run_starts([(0, 0, 3, 1, 5), (0, -1, 3, 7, 8)]) is None, "too many runs"
+    assert C.run_starts([]) == []
+
+
+def test_a_commit_that_outgrows_older_segments_writes_them_once(spark, root):
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    for k in range(2):
+        c.upsert_batch("books", spark.createDataFrame([(i, d, s.replace("word", f"word{k}")) for i, d, s in numbered(range(k, 20))], BATCH))
+        c.delete("books", f"d{5 + k}")
+        c.checkpoint()
+    assert [s["n"] for s in c.collections["books"]["segments"]] == [1, 2]
+    c.upsert_batch("books", spark.createDataFrame(numbered(range(40)), BATCH))
+    c.checkpoint()
+    assert [s["n"] for s in c.collections["books"]["segments"]] == [3], "new documents are written in the merged segment only"
+    assert {r["_id"]: r["_source"] for r in c.committed("books").collect()} == {d: s for _, d, s in numbered(range(40))}
+    assert c.postings("books").groupBy("_id", "term").count().where("count > 1").isEmpty()
+
+
+def test_a_commit_shuffles_sources_once_and_no_postings(spark, root, monkeypatch):
+    frame = type(spark.range(1))
+    seen, plain = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *a: seen.append(df.columns) or plain(df, *a))
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    c.upsert_batch("books", spark.createDataFrame(numbered(range(9)), BATCH))
+    c.checkpoint()
+    assert [sorted(x) for x in seen] == [["_id", "_seq", "_source"]]
+
+
 def test_runs_of_postings(spark, tmp_path, monkeypatch):
     """Several runs a file, texts that are null, empty or of repeated words, and wide ids."""
     from pyspark.sql import functions as F
