@@ -17,7 +17,9 @@ from quillon.mapping import ID, SEQ, SOURCE, TYPES, Mapping, tokens_of
 from quillon.plans.binder import parse_date
 
 #: Ascending runs that are told apart in a partition; a scan's partition holds fewer files (an opened file counts as 4 MB of 128).
-RUNS = 64
+RUNS = 128
+#: A leap is longer than so many steps of the run before it.
+LEAP = 64
 
 
 def _strict(text: str):
@@ -88,13 +90,14 @@ def with_reason(rows: DataFrame, mapping: Mapping, source: str = SOURCE) -> Data
 def with_places(rows: DataFrame, mapping: Mapping, source: str, order: str) -> DataFrame:
     """with_reason(), and where each valid row stands: its partition (part), the ascending run of `order` in it (run, place in run).
 
-    A partition of more runs than RUNS, or a row without order, has run -1 from there on; refused rows have no run.
+    A leap ends a run too, as a partition may hold files between which others lie. A partition of more runs than RUNS,
+    or a row without order, has run -1 from there on; refused rows have no run.
     """
     added = [T.StructField("reason", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("run", T.IntegerType()), T.StructField("place", T.LongType())]
     schema = T.StructType([*rows.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, place, last = TaskContext.get().partitionId(), 0, -1, None
+        part, at, place, first, last = TaskContext.get().partitionId(), 0, -1, None, None
         for b in batches:
             found, runs, places = [], [], []
             for s, o in zip(b.column(source).to_pylist(), b.column(order).to_pylist(), strict=True):
@@ -105,9 +108,9 @@ def with_places(rows: DataFrame, mapping: Mapping, source: str, order: str) -> D
                     continue
                 if at >= 0 and (o is None or o != o):
                     at = -1
-                elif at >= 0 and last is not None and o < last:
+                elif at >= 0 and last is not None and (o < last or place > 0 and isinstance(o, (int, float)) and o - last > LEAP * max((last - first) / place, 1)):
                     at, place = at + 1 if at < RUNS else -1, -1
-                place, last = place + 1, o
+                place, first, last = place + 1, first if place >= 0 else o, o
                 runs.append(at)
                 places.append(place)
             more = [pa.array(found, pa.string()), pa.array([part] * len(found), pa.int32()), pa.array(runs, pa.int32()), pa.array(places, pa.int64())]

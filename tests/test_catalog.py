@@ -334,6 +334,15 @@ def test_a_batch_is_numbered_in_order_and_leaves_no_copy(spark, root, order):
     assert [f for f in c.files.names(f"{root}/_log") if f.startswith(".stage")] == []
 
 
+def test_files_between_which_others_lie_are_numbered_without_a_shuffle(spark, root, monkeypatch):
+    rows = spark.createDataFrame(numbered([*range(200), *range(400, 600), *range(200, 400), *range(600, 800)]), BATCH)
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    monkeypatch.setattr(c, "_in_order", None)
+    assert c.upsert_batch("books", rows.coalesce(1))[0] == 800
+    assert c.log.read(2).where("concat('d', seq - 2) <> id").isEmpty()
+
+
 def test_starts_of_runs():
     assert C.run_starts([(1, 0, 3, 10, 12), (0, 0, 2, 20, 30), (0, 1, 4, 1, 9)]) == [(0, 1, 0), (1, 0, 4), (0, 0, 7)]
     assert C.run_starts([(0, 0, 3, 1, 5), (1, 0, 3, 4, 8)]) is None, "they overlap"
