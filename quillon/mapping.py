@@ -110,6 +110,17 @@ class Mapping:
             out.add(T.StructField(tokens_of(n), T.ArrayType(T.StringType())))
         return out
 
+    def stored_schema(self) -> T.StructType:
+        """How segments hold it: of an indexed text the tokens as one string, a space between them, and their number.
+
+        A string costs a fraction of an array's elements; the text itself is in the source.
+        """
+        texts = self.text_fields()
+        out = T.StructType([f for f in self.schema() if f.name not in {*texts, *map(tokens_of, texts)}])
+        for n in texts:
+            out.add(T.StructField(tokens_of(n), T.StringType())).add(T.StructField(size_of(n), T.IntegerType()))
+        return out
+
     def describe(self, spark: SparkSession) -> DataFrame:
         rows = [(n, f.type, f.indexed, f.fast) for n, f in self.fields.items()]
         return spark.createDataFrame(rows, "field string, type string, indexed boolean, fast boolean")
@@ -120,6 +131,11 @@ def tokens_of(field: str) -> str:
     return f"_tokens_{field}"
 
 
+def size_of(field: str) -> str:
+    """The column that holds their number in a segment."""
+    return f"_size_{field}"
+
+
 NAME = r"^[a-z0-9-][a-z0-9_-]*$"
 
 

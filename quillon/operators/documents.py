@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import analyzer
-from quillon.mapping import ID, SEQ, SOURCE, TYPES, Mapping, tokens_of
+from quillon.mapping import ID, SEQ, SOURCE, TYPES, Mapping, size_of, tokens_of
 from quillon.plans.binder import parse_date
 
 #: Ascending runs that are told apart in a partition; a scan's partition holds fewer files (an opened file counts as 4 MB of 128).
@@ -22,21 +22,27 @@ RUNS = 128
 LEAP = 64
 
 
-def _strict(text: str):
-    def constant(name: str):
-        raise ValueError(f"{name} is no JSON")
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError("a number is out of range")
+    return value
+
 
-    def number(text: str) -> float:
-        value = float(text)
-        if math.isinf(value):
-            raise ValueError("a number is out of range")
-        return value
+def _integer(text: str) -> int:
+    _number(text)
+    return int(text)
 
-    def integer(text: str) -> int:
-        number(text)
-        return int(text)
 
-    j = json.loads(text, parse_constant=constant, parse_float=number, parse_int=integer)
+DECODER = json.JSONDecoder(parse_constant=_constant, parse_float=_number, parse_int=_integer)
+
+
+def _strict(text: str):
+    j = DECODER.decode(text)
     if "\\u" in text:
         json.dumps(j, ensure_ascii=False).encode()  # a lone surrogate is no character: UnicodeEncodeError
     return j
@@ -124,9 +130,9 @@ def date_column(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.upper(text), r":60(\.|Z|[+-])", ":59$1"))
 
 
-def extract(rows: DataFrame, mapping: Mapping, source: str = SOURCE) -> DataFrame:
-    """rows with a typed column for each indexed or fast field of a valid source, by built-in functions."""
-    fields = mapping.column_fields()
+def extract(rows: DataFrame, mapping: Mapping, source: str = SOURCE, fields: list[str] | None = None) -> DataFrame:
+    """rows with a typed column for each indexed or fast field (or those of fields) of a valid source, by built-in functions."""
+    fields = mapping.column_fields() if fields is None else fields
     if not fields:
         return rows
     kind = lambda f: T.StringType() if mapping.fields[f].type == "date" else TYPES[mapping.fields[f].type]
@@ -145,6 +151,23 @@ def with_tokens(rows: DataFrame, mapping: Mapping) -> DataFrame:
     return rows
 
 
+def to_stored(rows: DataFrame, mapping: Mapping) -> DataFrame:
+    """rows of the mapping's schema as segments hold them; no token holds a space."""
+    for f in mapping.text_fields():
+        c = F.col(f"`{tokens_of(f)}`")
+        rows = rows.withColumn(size_of(f), F.when(c.isNotNull(), F.size(c))).withColumn(tokens_of(f), F.array_join(c, " "))
+    return rows.select(*[F.col(f"`{n}`") for n in mapping.stored_schema().names])
+
+
+def from_stored(rows: DataFrame, mapping: Mapping) -> DataFrame:
+    """to_stored() undone: null tokens stay null, an empty string has none. A text is taken from the source where it is read."""
+    rows = extract(rows, mapping, fields=mapping.text_fields())
+    for f in mapping.text_fields():
+        c = F.col(f"`{tokens_of(f)}`")
+        rows = rows.withColumn(tokens_of(f), F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " ")))
+    return rows.select(*[F.col(f"`{n}`") for n in mapping.schema().names])
+
+
 def collection_of(rows: DataFrame, mapping: Mapping, doc_id: Column, source: Column | None = None) -> DataFrame:
     """A table with typed columns of the mapping's names as a searchable collection. source: a JSON of the fields, by default."""
     fields = mapping.column_fields()

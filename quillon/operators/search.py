@@ -7,6 +7,7 @@ word is spread over all files. Both give the same matches and scores.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from quillon.errors import DocumentNotFound, ValidationError
 from quillon.functions import scoring
 from quillon.functions.analyzer import analyze
-from quillon.mapping import COMPRESSION, ID, SOURCE, Mapping, tokens_of
+from quillon.mapping import COMPRESSION, ID, SOURCE, Mapping, size_of, tokens_of
 from quillon.plans.binder import Binder, statistics
 from quillon.plans.parser import parse
 from quillon.plans.tree import Bool, Boost, Node, Term
@@ -100,6 +101,9 @@ def existing(docs: DataFrame, ids: DataFrame) -> DataFrame:
 # The postings path
 
 POSTINGS = f"field string, term string, {ID} string, tf long, length int"
+#: As the catalog stores them: a row for a term in a run, its documents as a JSON array of [_id, length].
+PACKED = "field string, term string, docs string, tf array<int>"
+PACKED_STORED = {"compression": COMPRESSION, "parquet.compression.codec.zstd.level": "1", "parquet.bloom.filter.enabled#term": "true"}
 
 
 def postings(docs: DataFrame, mapping: Mapping) -> DataFrame:
@@ -141,16 +145,77 @@ def write_postings(docs: DataFrame, mapping: Mapping, path: str) -> None:
     rows.mapInArrow(run, POSTINGS).write.options(**STORED).parquet(path)
 
 
+def write_packed(docs: DataFrame, mapping: Mapping, path: str) -> None:
+    """write_postings() with a row for a term's postings in a run, so that a row is made for a term and not for each posting.
+
+    docs: as segments hold them, tokens as one string. The documents of a term are one string too, whatever is in their ids.
+    """
+    fields = [(f, mapping.fields[f].type == "text") for f in mapping.default_fields()]
+    rows = docs.select(ID, *[F.col(f"`{tokens_of(f) if text else f}`").alias(f"f{i}") for i, (f, text) in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            columns = [_words(b.column(f"f{i}")) if text else b.column(f"f{i}") for i, (_, text) in enumerate(fields)]
+            held.append(pa.RecordBatch.from_arrays([b.column(ID), *columns], names=b.schema.names))
+            size += sum(len(c.values) if text else b.num_rows for c, (_, text) in zip(columns, fields, strict=True))
+            if size >= RUN:
+                yield from _packed_runs(pa.Table.from_batches(held), fields)
+                held, size = [], 0
+        if held:
+            yield from _packed_runs(pa.Table.from_batches(held), fields)
+
+    rows.mapInArrow(run, PACKED).write.options(**PACKED_STORED).parquet(path)
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    """The token lists of joined tokens; that of an empty string has none."""
+    return pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), " ")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """field, term, _id, tf, length of packed postings; a filter on field and term reaches their scan."""
+    each = F.explode(F.arrays_zip(F.from_json("docs", "array<array<string>>").alias("doc"), "tf")).alias("p")
+    doc = F.col("p.doc")
+    return rows.select("field", "term", each).select("field", "term", doc[0].alias(ID), F.col("p.tf").cast("long").alias("tf"), doc[1].cast("int").alias("length"))
+
+
+def _packed_runs(rows: pa.Table, fields: list[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    """The packed postings of some documents, for each field by term."""
+    ids = pa.array([json.dumps(d, ensure_ascii=False) for d in rows.column(ID).to_pylist()], pa.large_string())
+    glue = lambda *parts: pc.binary_join_element_wise(*[p if isinstance(p, pa.Array) else pa.scalar(p, pa.large_string()) for p in (*parts, "")])
+    for field, key, tf, terms, lengths in _sorted_terms(rows, fields):
+        docs = glue("[", ids, ",", pa.array(lengths).cast(pa.large_string()), "]")
+        for k in range(0, len(key), OUT):
+            term, doc = key[k : k + OUT] // len(docs), key[k : k + OUT] % len(docs)
+            at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+            ends = pa.array(np.append(at, len(term)).astype(np.int32))
+            own = pc.binary_join(pa.ListArray.from_arrays(ends, docs.take(pa.array(doc))), pa.scalar(",", pa.large_string()))
+            columns = [pa.repeat(field, len(at)), terms.take(pa.array(term[at])), glue("[", own, "]"), pa.ListArray.from_arrays(ends, pa.array(tf[k : k + OUT].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns], names=["field", "term", "docs", "tf"])
+
+
 def _term_runs(rows: pa.Table, fields: list[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
     """The postings of some documents, for each field by term and document."""
     ids = pc.cast(rows.column(ID).combine_chunks(), pa.large_string())
+    for field, key, tf, terms, lengths in _sorted_terms(rows, fields):
+        for k in range(0, len(key), OUT):
+            part = key[k : k + OUT]
+            d = part % len(ids)
+            columns = [pa.repeat(field, len(part)), terms.take(pa.array(part // len(ids))), ids.take(pa.array(d)), pa.array(tf[k : k + OUT]), pa.array(lengths[d].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns], names=["field", "term", ID, "tf", "length"])
+
+
+def _sorted_terms(rows: pa.Table, fields: list[tuple[str, bool]]) -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """Of each field that has any: its name, place of the term times documents plus place of the document (ascending), tf, the terms and the documents' lengths."""
+    n = rows.num_rows
     for i, (field, text) in enumerate(fields):
         lists = rows.column(f"f{i}")
         if text:
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-            doc, words = np.repeat(np.arange(len(ids)), lengths), pc.list_flatten(lists)
+            doc, words = np.repeat(np.arange(n), lengths), pc.list_flatten(lists)
         else:
-            lengths, doc, words = np.ones(len(ids), np.int64), np.arange(len(ids)), lists
+            lengths, doc, words = np.ones(n, np.int64), np.arange(n), lists
         there = words.is_valid().to_numpy()
         if not there.any():
             continue
@@ -158,22 +223,18 @@ def _term_runs(rows: pa.Table, fields: list[tuple[str, bool]]) -> Iterator[pa.Re
         order = pc.sort_indices(coded.dictionary).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        key = np.sort(rank[coded.indices.to_numpy()] * len(ids) + doc[there])  # term, then document
+        key = np.sort(rank[coded.indices.to_numpy()] * n + doc[there])  # term, then document
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        tf, key, terms = np.diff(np.append(at, len(key))), key[at], coded.dictionary.take(pa.array(order))
-        for k in range(0, len(key), OUT):
-            part = key[k : k + OUT]
-            d = part % len(ids)
-            columns = [pa.repeat(field, len(part)), terms.take(pa.array(part // len(ids))), ids.take(pa.array(d)), pa.array(tf[k : k + OUT]), pa.array(lengths[d].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns], names=["field", "term", ID, "tf", "length"])
+        yield field, key[at], np.diff(np.append(at, len(key))), coded.dictionary.take(pa.array(order)), lengths
 
 
-def field_totals(docs: DataFrame, mapping: Mapping) -> dict[str, list[int]]:
-    """For each default field, the documents that have it and its tokens (1 for a keyword); one aggregation."""
-    sums = []
+def field_totals(docs: DataFrame, mapping: Mapping, stored: bool = False) -> dict[str, list[int]]:
+    """For each default field, the documents that have it and its tokens (1 for a keyword); one aggregation. stored: docs are as segments hold them."""
+    sums, column = [], size_of if stored else tokens_of
     for i, f in enumerate(mapping.default_fields()):
-        c = F.col(f"`{tokens_of(f) if mapping.fields[f].type == 'text' else f}`")
-        sums += [F.count(c).alias(f"n{i}"), F.sum(F.size(c).cast("long") if mapping.fields[f].type == "text" else F.lit(1)).alias(f"t{i}")]
+        c = F.col(f"`{column(f) if mapping.fields[f].type == 'text' else f}`")
+        tokens = (c if stored else F.size(c)).cast("long") if mapping.fields[f].type == "text" else F.lit(1)
+        sums += [F.count(c).alias(f"n{i}"), F.sum(tokens).alias(f"t{i}")]
     row = docs.agg(*sums).first() if sums else None
     return {f: [row[f"n{i}"], int(row[f"t{i}"] or 0) if mapping.fields[f].type == "text" else row[f"n{i}"]] for i, f in enumerate(mapping.default_fields())}
 

@@ -3,9 +3,9 @@
 Layout under a root folder:
 
     _log/segment-*            the command log
-    <uuid>/segment-<n>/       documents of a collection: Parquet by id, with a bloom filter on it, typed columns and tokens
+    <uuid>/segment-<n>/       documents of a collection: Parquet by id, with a bloom filter on it, typed columns, joined tokens
     <uuid>/gone-<n>/          ids of older segments that segment n replaces or deletes
-    <uuid>/postings-<n>/      the terms of segment n's documents; each file holds those of some documents, by term
+    <uuid>/packed-<n>/        the terms of segment n's documents; each file holds those of some documents, by term
     _catalog.json             {applied_seq, collections: {name: {uuid, mapping, created_seq, version, committed_seq, segments}}}
     _lock                     the writer that opened the catalog last
     _snapshots/<id>/          a catalog file; the folders that it names stay as long as it is there
@@ -35,7 +35,7 @@ from quillon.errors import CollectionNotFound, RecoveryError, SchemaConflict, Va
 from quillon.mapping import COMPRESSION, ID, SEQ, SOURCE, Mapping, check_name
 from quillon.operators import commands as C
 from quillon.operators import search as S
-from quillon.operators.documents import extract, reason, with_places, with_tokens
+from quillon.operators.documents import extract, from_stored, reason, to_stored, with_places, with_tokens
 from quillon.sources.files import Files
 from quillon.sources.log import CommandLog
 
@@ -251,7 +251,7 @@ class Catalog:
     @staticmethod
     def _named(c: dict) -> list[str]:
         """The folders of a collection's state."""
-        return [f"{kind}-{s['n']}" for s in c["segments"] for kind in ("segment", *(["gone"] if s["gone"] else []), *(["postings"] if s["postings"] else []))]
+        return [f"{kind}-{s['n']}" for s in c["segments"] for kind in ("segment", *(["gone"] if s["gone"] else []), *(["packed"] if s["postings"] else []))]
 
     def _at(self, c: dict, folder: str) -> str:
         return f"{self.root}/{c['uuid']}/{folder}"
@@ -265,13 +265,19 @@ class Catalog:
                 out = own if out is None else out.union(own)
         return None if out is None else out.groupBy(ID).agg(F.max("by").alias("by"))
 
+    def _read(self, c: dict, folder: str) -> DataFrame:
+        """The documents or the postings of a segment."""
+        if folder.startswith("packed"):
+            return S.unpacked(self.spark.read.schema(S.PACKED).parquet(self._at(c, folder)))
+        return from_stored(self.spark.read.schema(c["mapping"].stored_schema()).parquet(self._at(c, folder)), c["mapping"])
+
     def _live(self, c: dict, kind: str, schema, segments: list[dict]) -> DataFrame:
         """What the segments hold of a kind of rows, without those of ids that a later segment has taken over."""
         out = None
         for s in segments:
-            if kind == "postings" and not s["postings"]:
+            if kind == "packed" and not s["postings"]:
                 continue
-            own = self.spark.read.schema(schema).parquet(self._at(c, f"{kind}-{s['n']}")).withColumn("_in", F.lit(s["n"]))
+            own = self._read(c, f"{kind}-{s['n']}").withColumn("_in", F.lit(s["n"]))
             out = own if out is None else out.union(own)
         if out is None:
             return self.spark.createDataFrame([], schema)
@@ -289,7 +295,7 @@ class Catalog:
     def postings(self, name: str) -> DataFrame:
         """field, term, _id, tf, length, bucket of the last committed version's documents."""
         c = self._get(name)
-        return self._live(c, "postings", S.POSTINGS, c["segments"])
+        return self._live(c, "packed", S.POSTINGS, c["segments"])
 
     @staticmethod
     def _totals(c: dict) -> dict | None:
@@ -306,14 +312,13 @@ class Catalog:
         mapping, counts = c["mapping"], {}
         n = 1 + max((int(f.rpartition("-")[2]) for f in self.files.names(f"{self.root}/{c['uuid']}")), default=0)
         own = self._at(c, f"segment-{n}")
-        typed = with_tokens(extract(rows, mapping), mapping).select(*mapping.schema().names)
-        typed.write.options(**STORED).parquet(own)
-        docs = self.spark.read.schema(mapping.schema()).parquet(own)
+        to_stored(with_tokens(extract(rows, mapping), mapping), mapping).write.options(**STORED).parquet(own)
+        docs = self.spark.read.schema(mapping.stored_schema()).parquet(own)
         counts["n"], counts["rows"] = n, docs.count()
-        counts["totals"] = S.field_totals(docs, mapping)
+        counts["totals"] = S.field_totals(docs, mapping, stored=True)
         counts["postings"] = bool(mapping.default_fields()) and counts["rows"] > 0
         if counts["postings"]:
-            S.write_postings(docs, mapping, self._at(c, f"postings-{n}"))
+            S.write_packed(docs, mapping, self._at(c, f"packed-{n}"))
         counts["gone"] = gone is not None
         if gone is not None:
             gone.select(ID).distinct().write.parquet(self._at(c, f"gone-{n}"))
@@ -356,7 +361,7 @@ class Catalog:
         # a segment's documents come before the ids that it takes over, both before what is older
         rows = news.select(ID, SOURCE, SEQ, F.lit((1 << 63) - 1).alias("at"), (F.col("op") == "index").alias("live"))
         for k, s in enumerate(part):
-            own = self.spark.read.schema(c["mapping"].schema()).parquet(self._at(c, f"segment-{s['n']}"))
+            own = self._read(c, f"segment-{s['n']}")
             rows = rows.union(own.select(ID, SOURCE, SEQ, F.lit(2 * s["n"] + 1).cast("long"), F.lit(True)))
             if k and s["gone"]:
                 ids = self.spark.read.schema(f"{ID} string").parquet(self._at(c, f"gone-{s['n']}"))
@@ -451,8 +456,8 @@ class Catalog:
         if source != self.root:  # copied by the executors
             for c, own in named:
                 kind, to = own.partition("-")[0], f"{self.root}/{c['uuid']}/{own}"
-                schema = {"segment": Mapping.from_json(json.dumps(c["mapping"])).schema(), "gone": f"{ID} string", "postings": S.POSTINGS}[kind]
-                options = S.STORED if kind == "postings" else STORED
+                schema = {"segment": Mapping.from_json(json.dumps(c["mapping"])).stored_schema(), "gone": f"{ID} string", "packed": S.PACKED}[kind]
+                options = S.PACKED_STORED if kind == "packed" else STORED
                 self.files.delete(to)
                 self.spark.read.schema(schema).parquet(f"{source}/{c['uuid']}/{own}").write.options(**options).parquet(to)
         self.log.truncate(0)

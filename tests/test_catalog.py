@@ -395,3 +395,43 @@ def test_runs_of_postings(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = spark.read.schema(S.POSTINGS).parquet(f"file://{tmp_path}/postings")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.postings(docs, mapping).collect()))
+
+
+def test_packed_postings_and_stored_documents(spark, tmp_path, monkeypatch):
+    """Several runs a file, ids of any characters, texts that are null, empty or of repeated words: all come back as they were."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators.documents import collection_of, from_stored, to_stored
+
+    monkeypatch.setattr(S, "RUN", 50)
+    monkeypatch.setattr(S, "OUT", 7)
+    mapping = Mapping({"title": Field("text", True), "tag": Field("keyword", True), "body": Field("text", True)})
+    words = ["the", "The", "é", "", None, "a b a", "zz " * 9, "the the cat"]
+    odd = ['"', "\\", ",", "é\n", "[1]", " ", " ", "\x00"]
+    rows = [(f"{odd[i % 8]}{i:03d}", words[i % 8], words[(i * 3) % 8] if i % 3 else None, None if i % 5 else "k") for i in range(200)]
+    docs = collection_of(spark.createDataFrame(rows, "id string, title string, body string, tag string"), mapping, F.col("id"))
+    to_stored(docs, mapping).write.parquet(f"file://{tmp_path}/docs")
+    stored = spark.read.schema(mapping.stored_schema()).parquet(f"file://{tmp_path}/docs")
+    key = lambda df: sorted(map(repr, df.select(*mapping.schema().names).collect()))
+    assert key(from_stored(stored, mapping)) == key(docs)
+    assert S.field_totals(stored, mapping, stored=True) == S.field_totals(docs, mapping)
+    S.write_packed(stored, mapping, f"file://{tmp_path}/packed")
+    got = S.unpacked(spark.read.schema(S.PACKED).parquet(f"file://{tmp_path}/packed"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.postings(docs, mapping).collect()))
+
+
+def test_a_commit_writes_a_row_for_a_term_and_no_text_twice(spark, root):
+    c = Catalog(spark, root)
+    c.create("books", BOOKS)
+    c.upsert_batch("books", spark.createDataFrame(numbered(range(60)), BATCH).coalesce(1))
+    c.checkpoint()
+    own = f"{root}/{c.collections['books']['uuid']}"
+    folders = {n.partition("-")[0]: spark.read.parquet(f"{own}/{n}") for n in c.files.names(own)}
+    stored, docs = folders.pop("segment"), c.committed("books")
+    assert "title" not in stored.columns and dict(stored.dtypes)["_tokens_title"] == "string"
+    assert docs.where("title = concat('word ', year) and size(_tokens_title) = 2").count() == 60
+    (index,) = folders.values()
+    postings, terms = c.postings("books"), S.postings(docs, BOOKS).select("field", "term").distinct().count()
+    assert sorted(map(tuple, postings.collect())) == sorted(map(tuple, S.postings(docs, BOOKS).collect()))
+    assert index.count() == terms < postings.count()
+    assert "In(term" in postings.where("term in ('word', 'other')")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
